@@ -5,8 +5,9 @@ sets that agree there share a node. Nodes of up to SMALL sets are compared by br
 on two places sampled for that node. A pair of likeness 0.8 keeps a common node with odds over 0.93 in each run, however
 deep it goes, so the runs for a target recall follow from these odds.
 
-In a large node every set is compared with one pivot too: sets much like the pivot are candidates with it and need no
-more splitting, since whatever is like them is like the pivot as well. So a large group of near copies ends at once.
+In a large node every signature is compared with the node's centre too, the most frequent value at each place among about
+CENTRE of its sets: sets near the centre are candidates with each other, and those very near need no more splitting,
+since whatever is like them is near the centre as well. So a large group of near copies ends at once.
 
 What these comparisons of signatures join are only candidate clusters. Within each cluster every pair is then compared
 exactly, on the sets themselves; a cluster over BLOCK sets is compared in pairs of blocks. Only links' ends, counts and
@@ -32,7 +33,9 @@ from wayfold.llm.components import components
 SHINGLE, LIKE = 5, 0.8
 #: Places of a signature; sets that a node may have to be compared at once; levels; sets of a block.
 PLACES, SMALL, DEPTH, BLOCK = 64, 64, 5, 256
-#: Estimated likeness from which two sets are candidates, and that from which a set leaves a node with its pivot.
+#: Sets that a large node's centre is taken from, about.
+CENTRE = 64
+#: Estimated likeness from which two sets are candidates, and that to a node's centre from which a set is split no more.
 MAYBE, SURELY = 0.55, 0.8
 RECALL = 0.999
 
@@ -160,14 +163,43 @@ def _small_nodes(rows: DataFrame) -> DataFrame:
     return rows.select("node", "set_id", "sig").repartition("node").sortWithinPartitions("node").mapInArrow(compare, EDGE)
 
 
-def _near_pivot(rows: DataFrame) -> DataFrame:
-    """rows with `near`, the estimated likeness of sig and pivot_sig."""
-    out = T.StructType([*schema(node=LONG, set_id=LONG, sig=T.BinaryType(), pivot=LONG).fields, T.StructField("near", DOUBLE)])
+def _centres(rows: DataFrame) -> DataFrame:
+    """(node, centre) of large nodes from rows of about CENTRE sets of each."""
+    out = T.StructType([*schema(node=LONG, centre=T.BinaryType()).fields])
+
+    def centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, held = None, []
+
+        def mode() -> bytes:
+            found = np.sort(np.stack(held), axis=0)
+            start = np.arange(len(found))[:, None] * np.ones(PLACES, dtype=int)
+            start[1:][found[1:] == found[:-1]] = 0
+            run = np.arange(len(found))[:, None] - np.maximum.accumulate(start, axis=0)
+            return found[run.argmax(axis=0), np.arange(PLACES)].astype("<u4").tobytes()
+
+        for b in batches:
+            done = []
+            for n, sig in zip(b.column("node").to_pylist(), _matrix(b.column("sig"))):
+                if n != node and held:
+                    done.append((node, mode()))
+                    held = []
+                node = n
+                held.append(sig)
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.binary())], names=out.names)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([mode()], pa.binary())], names=out.names)
+
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(centre, out)
+
+
+def _near_centre(rows: DataFrame) -> DataFrame:
+    """rows with `near`, the share of places at which sig and centre agree."""
+    out = schema(node=LONG, set_id=LONG, sig=T.BinaryType(), near=DOUBLE)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = (_matrix(b.column("sig")) == _matrix(b.column("pivot_sig"))).mean(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in out.names[:-1]] + [pa.array(near, pa.float64())], names=out.names)
+            near = (_matrix(b.column("sig")) == _matrix(b.column("centre"))).mean(axis=1)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in out.names[:-1]), pa.array(near, pa.float64())], names=out.names)
 
     return rows.mapInArrow(compare, out)
 
@@ -189,15 +221,17 @@ def candidates(reps: DataFrame, recall: float = RECALL) -> DataFrame:
         shared = placed.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         rows = common.stash(placed.join(shared, "node").join(reps.select("set_id", "sig"), "set_id"), "nodes")
         found.append(common.stash(_small_nodes(rows.where(F.col("n") <= SMALL)), "edges"))
-        large = rows.where(F.col("n") > SMALL).select("node", "set_id", "sig")
-        pivots = common.stash(large.groupBy("node").agg(F.min(F.struct("set_id", "sig")).alias("p")), "pivots")
-        if pivots.isEmpty():
+        large = rows.where(F.col("n") > SMALL).select("node", "set_id", "sig", "n")
+        some = large.where(F.pmod(F.xxhash64("set_id", "node"), F.col("n")) < CENTRE).select("node", "sig")
+        centres = common.stash(_centres(some), "centres")
+        if centres.isEmpty():
             break
-        pivots = pivots.select("node", F.col("p.set_id").alias("pivot"), F.col("p.sig").alias("pivot_sig"))
-        near = common.stash(_near_pivot(large.join(pivots, "node")), "near")
+        with_centre = large.join(centres, "node", "left").withColumn("centre", F.coalesce("centre", F.lit(bytes(4 * PLACES))))
+        near = common.stash(_near_centre(with_centre), "near")
         # At the last level all of a node are candidates: they agree in as many places as there are levels.
-        close = F.col("near") >= (MAYBE if depth < DEPTH else 0.0)
-        found.append(near.where(close & (F.col("set_id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("set_id").alias("b")))
+        close = near.where(F.col("near") >= (MAYBE if depth < DEPTH else 0.0)).select("node", "set_id")
+        hubs = common.stash(close.groupBy("node").agg(F.min("set_id").alias("a")), "hubs")
+        found.append(close.join(hubs, "node").where("a <> set_id").select("a", F.col("set_id").alias("b")))
         placed = _children(near.where(F.col("near") < SURELY), [F.lit(-1), F.lit(-2)])
     edges = found[0]
     for more in found[1:]:
@@ -306,7 +340,7 @@ def join(documents: DataFrame, like: float = LIKE, recall: float = RECALL) -> Da
             found = pa.array([s.tobytes() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), found], names=out.names).filter(same)
 
-    texts = common.only(documents, "doc_id", "text").join(members, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", *kept)
+    texts = common.only(documents, "doc_id", "text").hint("merge").join(members, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", *kept)
     sets = texts.mapInArrow(again, out)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     units = sets.withColumn("k", other).withColumns({"i": F.least("block", "k"), "j": F.greatest("block", "k")})
