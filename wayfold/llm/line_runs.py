@@ -12,7 +12,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,13 +29,24 @@ DOC = ["doc_id", "text_id"]
 
 def lines(documents: DataFrame) -> DataFrame:
     """doc_id, text_id, seq, line_no, words, h1, h2 of every line with a word; seq counts these within their text."""
-    docs = common.only(documents, "doc_id", "text").where("text is not null")
-    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), F.trim(F.translate(x, "\t\r\f\u000b", "    ")).alias("line")))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_id"), F.posexplode(F.filter(numbered, lambda s: s["line"] != "")).alias("seq", "own"))
-    line = F.col("own.line")
-    return rows.select(
-        *DOC, "seq", "own.line_no", common.word_count(line).cast("int").alias("words"), F.xxhash64(line).alias("h1"), F.hash(F.reverse(line)).alias("h2")
-    )
+    docs = common.only(documents, "doc_id", "text").where("text is not null").select("doc_id", F.xxhash64("text").alias("text_id"), "text")
+    out = schema(doc_id=LONG, text_id=LONG, seq=INT, line_no=INT, words=INT, h1=LONG, h2=LONG)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for doc_id, text_id, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text_id", "text"))):
+                raw = [x.strip(b" \t\r\f\v") for x in text.encode("utf-8", "surrogatepass").split(b"\n")]
+                own = [(i, x) for i, x in enumerate(raw) if x]
+                for seq, (i, x) in enumerate(own):
+                    rows.append((doc_id, text_id, seq, i, len(x.split()), xxhash.xxh3_128_digest(x)))
+            *columns, digests = zip(*rows) if rows else [[]] * 6
+            halves = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds)] + [pa.array(halves[:, 0]), pa.array(halves[:, 1])]
+            yield pa.RecordBatch.from_arrays(arrays, names=out.names)
+
+    return docs.mapInArrow(split, out)
 
 
 def _ranks(keys: DataFrame, order: list[str]) -> DataFrame:
