@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from wayfold.llm import common
 from wayfold.llm.common import DOUBLE, INT, LONG, STRING, schema
@@ -27,7 +28,7 @@ TERM = re.compile(r"\w+")
 RATES, SUBSETS = (1, 4, 16, 64, 256, 1024), 24
 #: The band: terms of at least LOW and at most HIGH of all texts (and of two texts at least).
 LOW, HIGH, LEAST = 0.001, 0.2, 4
-_FLUSH = 200_000
+_FLUSH = 400_000
 
 
 def terms(text: str) -> set[str]:
@@ -138,15 +139,13 @@ def with_edits(documents: DataFrame, low: float = LOW, high: float = HIGH, rows_
     document's, by ascending doc_id (null first; repeated ids by text; after the last comes the first).
 
     Documents are dealt out by ranges of doc_id. All but the last of each range find their follower there; for those
-    last ones, the first of the next range is looked up in a table of two rows a range.
+    last ones, the first of the next range is looked up in a table of two rows a range. Both read one exchange.
     """
     common.batch_rows(documents.sparkSession, 500)
     words = documents.sparkSession.sparkContext.broadcast(lexicon(documents, low, high))
     docs = common.only(documents, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     result = schema(doc_id=LONG, n_chars=LONG, edited_sha256=STRING, fingerprint=STRING, edited_fingerprint=STRING, near_edited=DOUBLE, near_next=DOUBLE)
-    staged = schema(part=INT, role=STRING, text=STRING)
-    for field in result.fields:
-        staged = staged.add(field)
+    ends = schema(part=INT, first=STRING, doc_id=LONG, text=STRING)
 
     def row(prints: Prints, doc_id: int, text: str, own: np.ndarray, following: str, its: np.ndarray) -> dict:
         changed = edited(text, following)
@@ -163,29 +162,31 @@ def with_edits(documents: DataFrame, low: float = LOW, high: float = HIGH, rows_
         prints, last = Prints(words.value), None
         for b in batches:
             rows = []
-            for part, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "text"))):
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 own = prints(text)
-                if last is None:
-                    rows.append({"part": part, "role": "first", "text": text, "fingerprint": own.tobytes().hex()})
-                else:
-                    rows.append({"part": part, "role": "done"} | row(prints, *last[1:], text, own))
-                last = part, doc_id, text, own
-            yield arrow(rows, staged)
-        if last is not None:
-            yield arrow([{"part": last[0], "role": "last", "doc_id": last[1], "text": last[2], "fingerprint": last[3].tobytes().hex()}], staged)
-
-    walked = common.stash(common.in_order(docs, rows_per_part, "text").mapInArrow(walk, staged), "imatch")
-    first = walked.where("role = 'first'").select("part", F.col("text").alias("next_text"), F.col("fingerprint").alias("next_print"))
-    last = walked.where("role = 'last'").select("part", "doc_id", "text", "fingerprint")
-    numbers = common.offsets(last.select("part", F.lit(1).alias("one")), ["part"], "one", "k").select("part", "k")
-    n = F.broadcast(numbers.agg(F.count("*").alias("n")))  # one row
-    heads = first.join(numbers, "part").join(n).select(((F.col("k") - 1 + F.col("n")) % F.col("n")).alias("k"), "next_text", "next_print")
-    bounds = last.join(numbers, "part").join(heads, "k").select("doc_id", "text", "fingerprint", "next_text", "next_print")
+                if last is not None:
+                    rows.append(row(prints, *last, text, own))
+                last = doc_id, text, own
+            yield arrow(rows, result)
+
+    def ends_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        for b in batches:
+            if b.num_rows:
+                first = first or b.slice(0, 1).to_pylist()[0]
+                last = b.slice(b.num_rows - 1, 1)
+        if first is not None:
+            yield arrow([last.to_pylist()[0] | {"first": first["text"]}], ends)
+
+    dealt = common.in_order(docs, rows_per_part, "text")
+    sides = dealt.mapInArrow(ends_of, ends)
+    place = W.orderBy("part")
+    head = F.first("first").over(place.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    bounds = sides.select("doc_id", "text", F.coalesce(F.lead("first").over(place), head).alias("next_text"))
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = Prints(words.value)
-        back = lambda x: np.frombuffer(bytes.fromhex(x), dtype=">u2")
         for b in batches:
-            yield arrow([row(prints, r["doc_id"], r["text"], back(r["fingerprint"]), r["next_text"], back(r["next_print"])) for r in b.to_pylist()], result)
+            yield arrow([row(prints, r["doc_id"], r["text"], prints(r["text"]), r["next_text"], prints(r["next_text"])) for r in b.to_pylist()], result)
 
-    return walked.where("role = 'done'").select(*result.names).unionByName(bounds.mapInArrow(join_up, result))
+    return dealt.mapInArrow(walk, result).unionByName(bounds.mapInArrow(join_up, result))
