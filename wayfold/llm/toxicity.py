@@ -36,7 +36,7 @@ EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "clown fish",
 ENTRIES, LEAST_TEXTS, LEAST_ODDS = 2000, 4, 2.5
 #: Lengths of beginnings of words that may be entries.
 STARTS = range(4, 9)
-#: Labelled texts that the logistic law is fitted to, at most, by ascending hash of doc_id.
+#: Labelled texts that the logistic law is fitted to, about, at most: those of hashes under this share of all.
 FITTED = 20_000
 
 _TABLE = str.maketrans({**HOMOGLYPHS, **{k.upper(): v for k, v in HOMOGLYPHS.items() if len(k.upper()) == 1}})
@@ -176,7 +176,7 @@ def fit(documents: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = E
     score is 0.
     """
     marks = common.only(labels, "doc_id", "toxic").where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    train = common.only(documents, "doc_id", "text").join(marks, "doc_id")
+    train = common.only(documents, "doc_id", "text").hint("merge").join(marks, "doc_id")
     train = common.stash(train.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("long").alias("toxic")), "tox-train")
     words = lexicon(train)
     out = schema(toxic=LONG, **{f"x{i}": DOUBLE for i in range(5)})
@@ -187,8 +187,8 @@ def fit(documents: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = E
             x = np.array([features(matcher, t) for t in b.column("text").to_pylist()]).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays([b.column("toxic"), *(pa.array(x[:, i]) for i in range(5))], names=out.names)
 
-    chosen = train.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(FITTED).select("doc_id")
-    rows = np.array([list(r) for r in train.join(chosen, "doc_id", "left_semi").select("text", "toxic").mapInArrow(measure, out).collect()], dtype=float)
+    chosen = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, train.count()))) < FITTED)
+    rows = np.array([list(r) for r in chosen.select("text", "toxic").mapInArrow(measure, out).collect()], dtype=float)
     if not words or not len(rows):
         return Model({}, np.array([-50.0, 0, 0, 0, 0]), exceptions)
     return Model(words, logistic(rows[:, 1:], rows[:, 0]), exceptions)
