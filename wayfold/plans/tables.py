@@ -1,6 +1,6 @@
 """A road network derived from the driver's tables by fixed rules, the same in Spark and in SQL.
 
-Nodes are parts, with integer coordinates on a grid of 32768 x 32768; ways are every twentieth order, through the parts of
+Nodes are parts, with integer coordinates on a grid of 32768 x 32768; ways are orders, through the parts of
 its line items; places are nations; positions are events.
 """
 
@@ -29,13 +29,13 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def way_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0")
+    rows = table(spark, sf_dir, "lineitem")
     return rows.select(F.col("l_orderkey").alias("way"), F.col("l_partkey").alias("node"), (F.row_number().over(order) - 1).cast("long").alias("pos"))
 
 
 def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = spark.createDataFrame(CLASSES, "o_orderpriority string, max_speed double, average double, penalty double")
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0")
+    rows = table(spark, sf_dir, "orders")
     tagged = 30.0 + 10.0 * (F.col("o_custkey") % 10)
     return rows.join(F.broadcast(classes), "o_orderpriority").select(  # five rows
         F.col("o_orderkey").alias("way"), F.least("max_speed", tagged).alias("limit"), "average", "penalty",
@@ -64,10 +64,10 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 nodes AS (SELECT p_partkey AS node, (p_partkey*7919 + p_size*104729) % 32768 AS x, (p_partkey*15485863 + p_size*32452843) % 32768 AS y FROM part),
 way_nodes AS (SELECT l_orderkey AS way, l_partkey AS node, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos
-    FROM lineitem WHERE l_orderkey % 20 = 0),
+    FROM lineitem),
 classes AS (SELECT * FROM (VALUES """ + ", ".join(f"('{k}', {a}, {b}, {c})" for k, a, b, c in CLASSES) + """) AS v(kind, max_speed, average, penalty)),
 ways AS (SELECT o_orderkey AS way, least(max_speed, 30.0 + 10.0 * (o_custkey % 10))::DOUBLE AS lim, average::DOUBLE AS average, penalty::DOUBLE AS penalty,
-    o_orderstatus = 'F' AS oneway, kind FROM orders JOIN classes ON o_orderpriority = kind WHERE o_orderkey % 20 = 0),
+    o_orderstatus = 'F' AS oneway, kind FROM orders JOIN classes ON o_orderpriority = kind),
 points AS (SELECT event_id AS point, (event_id*7919 + user_id*104729) % 32768 AS px, (event_id*15485863 + user_id*32452843) % 32768 AS py FROM events),
 places AS (SELECT n_nationkey::BIGINT AS place, n_name AS name, coalesce(n, 0) AS population,
     (['City','Town','Hamlet','Suburb','Village','None'])[n_regionkey % 6 + 1] AS kind,
