@@ -199,7 +199,7 @@ def _paths_sql() -> str:
 
 @query(_paths_sql())
 def shortest_path_hops(spark, d):
-    e = routing._cut(_edges(spark, d).select("source", "target", F.floor(F.greatest(F.col("seconds") * 10 + 0.5, F.lit(1.0))).cast("long").alias("cost"), "oneway"))
+    e = routing.cut(_edges(spark, d).select("source", "target", F.floor(F.greatest(F.col("seconds") * 10 + 0.5, F.lit(1.0))).cast("long").alias("cost"), "oneway"))
     graph = e.select("source", "target", "cost").unionByName(e.where("not oneway").select(F.col("target").alias("source"), F.col("source").alias("target"), "cost"))
     origins = e.where("source % 200 = 0").select(F.col("source").alias("origin")).distinct()
     return routing.distances(graph, origins, _ROUNDS)
