@@ -1,5 +1,7 @@
 """Every road query against its SQL, and the pieces on small hand-made tables."""
 
+import heapq
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +44,42 @@ def test_distances_against_hand_count(spark):
     assert {(r.node, r.cost) for r in found.collect()} == {(1, 0), (2, 5), (3, 10), (4, 11)}
 
 
+def dijkstra(edges):
+    """(origin, node, cost) of all nodes of edges (source, target, cost)."""
+    out = {}
+    for a, b, c in edges:
+        out.setdefault(a, []).append((b, c))
+        out.setdefault(b, [])
+    found = set()
+    for origin in out:
+        done, heap = {}, [(0, origin)]
+        while heap:
+            cost, node = heapq.heappop(heap)
+            if node not in done:
+                done[node] = cost
+                for b, c in out[node]:
+                    heapq.heappush(heap, (cost + c, b))
+        found |= {(origin, node, cost) for node, cost in done.items()}
+    return found
+
+
+def test_shortest_paths_of_many_edges(spark):
+    edges = [(k, k + 1, 1) for k in range(11)] + [(0, 7, 100), (11, 5, 2), (20, 21, 3), (20, 21, 2), (21, 21, 1)]
+    graph = spark.createDataFrame(edges, "source long, target long, cost long")
+    origins = spark.createDataFrame([(n,) for n in [*range(12), 20, 21, 21]], "origin long")
+    wanted = dijkstra(edges)
+    assert (0, 7, 7) in wanted and (0, 11, 11) in wanted
+    for pairs in (50, 1000):
+        found = [tuple(r) for r in routing.shortest_paths(graph, origins, pairs).collect()]
+        assert len(found) == len(set(found)) and set(found) == wanted
+
+
+def test_shortest_paths_from_every_node(spark, small):
+    _, graph = road._routing_edges(spark, small)
+    found = [tuple(r) for r in road.QUERIES["shortest_paths"](spark, small).select("origin", "node", "cost").collect()]
+    assert len(found) == len(set(found)) and set(found) == dijkstra([tuple(r) for r in graph.collect()])
+
+
 def test_title_case_and_speeds(spark):
     rows = spark.createDataFrame([("NEW YORK-ON tweed", "30 mph"), ("a", "signals"), (None, None)], "n string, s string")
     out = rows.select(geo.title_case(F.col("n")).alias("n"), geo.max_speed_kmh(F.col("s")).alias("s")).collect()

@@ -197,14 +197,28 @@ def _paths_sql() -> str:
     return out + f" SELECT origin, node, cost FROM p{_ROUNDS}"
 
 
+def _routing_edges(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Edges with their cost in tenths of a second, and the graph of the directions in which they may be driven."""
+    e = routing.cut(_edges(spark, d).select("source", "target", F.floor(F.greatest(F.col("seconds") * 10 + 0.5, F.lit(1.0))).cast("long").alias("cost"), "oneway"))
+    return e, e.select("source", "target", "cost").unionByName(e.where("not oneway").select(F.col("target").alias("source"), F.col("source").alias("target"), "cost"))
+
+
 @query(_paths_sql())
 def shortest_path_hops(spark, d):
-    e = routing.cut(_edges(spark, d).select("source", "target", F.floor(F.greatest(F.col("seconds") * 10 + 0.5, F.lit(1.0))).cast("long").alias("cost"), "oneway"))
-    graph = e.select("source", "target", "cost").unionByName(e.where("not oneway").select(F.col("target").alias("source"), F.col("source").alias("target"), "cost"))
+    """Least costs within _ROUNDS edges from one origin in 200, as the SQL has them; shortest_paths is without these bounds."""
+    e, graph = _routing_edges(spark, d)
     origins = e.where("source % 200 = 0").select(F.col("source").alias("origin")).distinct()
     return routing.distances(graph, origins, _ROUNDS)
 
 
+@query()
+def shortest_paths(spark, d):
+    """Shortest costs from every node to every node; without SQL, which has no end of rounds to test for."""
+    _, graph = _routing_edges(spark, d)
+    origins = graph.select(F.col("source").alias("origin")).union(graph.select("target"))
+    return routing.shortest_paths(graph, origins)
+
+
 @query(
     """, n AS (SELECT *, CASE WHEN row_number() OVER o = 1 THEN 1 WHEN name = lag(name) OVER o THEN 0 ELSE 1 END AS new FROM (SELECT way AS route, pos, node % 3 AS name FROM way_nodes)
         WINDOW o AS (PARTITION BY route ORDER BY pos)),
