@@ -99,6 +99,26 @@ def test_outliers_keep_clean_and_reject_junk(spark, small):
     assert asked[asked.quality == 1].kept.mean() > 0.97 and asked[asked.quality == 0].kept.mean() < 0.2
 
 
+def test_outliers_in_one_share_only(spark):
+    rng = np.random.default_rng(7)
+    fresh = lambda n: [f"w{k:04d}" for k in rng.choice(10000, n, replace=False)]
+    tens = lambda words: "\n".join(" ".join(words[i : i + 10]) for i in range(0, len(words), 10))
+    texts = []
+    for k in range(300):
+        words = fresh(int(rng.integers(150, 260)))
+        texts.append(tens(words) + ("\n" + " ".join(words[:10]) if k % 7 == 0 else ""))
+    line, rest, half = " ".join(fresh(10)), fresh(200), fresh(100)
+    both = "\n".join([*[line] * 10, " ".join(fresh(100))])
+    lines_only = "\n".join(x for k in range(20) for x in ("w0000", " ".join(rest[10 * k : 10 * k + 9])))
+    words_only = tens([*half[:45], "x0001", *half[:45], *half[45:], *fresh(45)])
+    assert mcd.text_statistics(both)[:4:3] == (200, 9) and mcd.text_statistics(both)[4] == 100
+    assert mcd.text_statistics(lines_only)[3:] == (19, 0, 40) and mcd.text_statistics(words_only)[3:5] == (0, 90)
+    docs = spark.createDataFrame(list(enumerate([*texts, both, lines_only, words_only])), "doc_id long, text string").selectExpr("*", "'en' lang", "'a' source")
+    found = {r.doc_id: r for r in mcd.outliers(docs).collect()}
+    assert [(found[k].base_failed, found[k].kept) for k in (300, 301, 302)] == [(False, False)] * 3
+    assert sum(found[k].kept for k in range(300)) >= 297
+
+
 def test_mix_meets_targets(spark, small):
     found = balance.mix(spark.read.parquet(f"{small}/documents.parquet")).toPandas()
     assert (found.taken <= 2 * found["size"]).all()

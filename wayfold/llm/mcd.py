@@ -24,11 +24,12 @@ from wayfold.llm.common import INT, LONG, schema
 SYMBOLS = "#*$%&|<>"
 #: Share of rows that an estimate rests on; C-steps; rows that a group needs to have an estimate of its own.
 H, STEPS, LEAST_ROWS = 0.75, 4, 60
-#: Least deviation in each feature: what is finer than this counts as no difference.
-FLOORS = (0.5, 0.5, 0.35, 0.25, 0.2)
-#: Upper tail of the chi-squared law beyond which a vector is rejected.
-TAIL_Z = 4.5
-P = len(FLOORS)
+#: Share of normal vectors that the cutoff of the chi-squared law keeps.
+LEVEL = 0.999
+#: For each feature that difference which alone reaches the cutoff in a group without spread: length by a factor of e, a
+#: character a word, 5 symbols a thousand characters, repeats of 30 per cent of the lines or 25 per cent of the words.
+REACH = (1.0, 1.0, math.log1p(5), math.sqrt(0.3), math.sqrt(0.25))
+P = len(REACH)
 
 _STATS = schema(n_words=LONG, word_chars=LONG, n_symbols=LONG, n_dup_lines=LONG, n_repeat_words=LONG, n_lines=LONG)
 
@@ -102,9 +103,12 @@ def chi2_quantile(p: float, k: int) -> float:
 
 
 def cutoff() -> float:
-    return chi2_quantile(0.5 * (1 + math.erf(TAIL_Z / math.sqrt(2))), P)
+    return chi2_quantile(LEVEL, P)
 
 
+#: Least deviations, added to those of a group, so that a feature without spread (a share that is nearly always 0) gives no
+#: singular matrix and is still judged.
+FLOORS = tuple(x / math.sqrt(cutoff()) for x in REACH)
 #: What makes the covariance of the nearest H rows that of all rows, for normal vectors.
 _CONSISTENT = H / chi2_cdf(chi2_quantile(H, P), P + 2)
 
