@@ -253,6 +253,22 @@ def test_similar_by_brute_force(spark, monkeypatch):
     assert found[-4].class_id == found[-3].doc_id - 1 and found[-1].n_links == 0
 
 
+def test_partners_away_from_the_centre_of_a_large_group(spark):
+    from wayfold.llm.components import components
+
+    rng = np.random.default_rng(11)
+    fresh = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    changed = lambda own, at: np.r_[np.delete(own, at), fresh(len(at))]
+    centre, sets = fresh(300), []
+    for k in range(500):
+        a = changed(centre, rng.choice(300, 33, replace=False))  # 267 kept from the centre stand first
+        sets += [a, changed(a, rng.choice(267, 33, replace=False)), changed(centre, rng.choice(300, 2, replace=False))]
+    rows = [(k, bytearray(similar.signature(np.unique(x)))) for k, x in enumerate(sets)]
+    root = {r.node: r.root for r in components(similar.candidates(spark.createDataFrame(rows, "set_id long, sig binary"))).collect()}
+    assert [k for k in range(0, 1500, 3) if root.get(k, -1) != root.get(k + 1, -2)] == []
+    assert similar.lost_odds(similar.RUNS) <= 1 - similar.RECALL
+
+
 def test_pipeline_stages(spark, small):
     import corpus_pipeline
 

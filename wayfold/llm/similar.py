@@ -1,13 +1,15 @@
 """Jaccard join of documents on five-word shingles by chosen paths.
 
-Every set of shingles gets a signature of least hashes. Each run splits all sets on two sampled places of the signature:
-sets that agree there share a node. Nodes of up to SMALL sets are compared by brute force; larger ones are split again
-on two places sampled for that node. A pair of likeness 0.8 keeps a common node with odds over 0.93 in each run, however
-deep it goes, so the runs for a target recall follow from these odds.
+Every set of shingles gets a signature of least hashes. Each run splits all sets on two places of the signature: sets
+that agree there share a node. Nodes of up to SMALL sets are compared by brute force; larger ones are split again on two
+more places. Every split of every run has a place of its own, so they are independent: a pair of likeness 0.8 keeps a
+common node with odds over 0.93 in each run, however deep it goes, and the runs for a target recall follow from these odds.
 
 In a large node every signature is compared with the node's centre too, the most frequent value at each place among about
 CENTRE of its sets: sets near the centre are candidates with each other, and those very near need no more splitting,
-since whatever is like them is near the centre as well. So a large group of near copies ends at once.
+since whatever is like them is near the centre as well: a partner that is not a candidate differs from such a set in
+more than SURELY - MAYBE of the places, whatever the centre, and these odds count into the runs. So a large group of
+near copies ends at once.
 
 What these comparisons of signatures join are only candidate clusters. Within each cluster every pair is then compared
 exactly, on the sets themselves; a cluster over BLOCK sets is compared in pairs of blocks. Only links' ends, counts and
@@ -31,14 +33,40 @@ from wayfold.llm.common import DOUBLE, INT, LONG, schema
 from wayfold.llm.components import components
 
 SHINGLE, LIKE = 5, 0.8
-#: Places of a signature; sets that a node may have to be compared at once; levels; sets of a block.
-PLACES, SMALL, DEPTH, BLOCK = 64, 64, 5, 256
+#: Sets that a node may have to be compared at once; levels of splits; sets of a block.
+SMALL, DEPTH, BLOCK = 64, 5, 256
+#: Places of a run: splits of its tree, numbered as in a heap with two roots.
+TREE = 2 ** (DEPTH + 1) - 2
 #: Sets that a large node's centre is taken from, about.
 CENTRE = 64
 #: Estimated likeness from which two sets are candidates, and that to a node's centre from which a set is split no more.
-MAYBE, SURELY = 0.55, 0.8
+MAYBE, SURELY = 0.55, 0.87
 RECALL = 0.999
 
+
+def _differ_odds(places: int, like: float, least: int) -> float:
+    """Odds that two sets of likeness `like` differ in `least` or more of the places."""
+    return sum(math.comb(places, k) * (1 - like) ** k * like ** (places - k) for k in range(least, places + 1))
+
+
+def lost_odds(runs: int, like: float = LIKE) -> float:
+    """Bound of the odds that a pair has a common node in no run, or is passed over by a comparison of signatures."""
+    kept, places = 1.0, TREE * runs
+    for _ in range(DEPTH):
+        kept = 1 - (1 - like * kept) ** 2
+    maybe, surely = math.ceil(MAYBE * places), math.ceil(SURELY * places)
+    return (1 - kept) ** runs + _differ_odds(places, like, surely - maybe + 1) + _differ_odds(places, like, places - maybe + 1)
+
+
+def runs_needed(recall: float = RECALL, like: float = LIKE) -> int:
+    return next(r for r in range(1, 17) if lost_odds(r, like) <= 1 - recall)
+
+
+RUNS = runs_needed()
+PLACES = TREE * RUNS
+#: Places that split all sets, of which a signature holds the upper halves too.
+ROOTS = [TREE * r + k for r in range(RUNS) for k in range(2)]
+
 _rng = np.random.default_rng(20240521)
 _MUL = (_rng.integers(0, 1 << 31, PLACES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, PLACES, dtype=np.uint32)
@@ -46,13 +74,6 @@ _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(SHINGLE)]
 _words: dict[bytes, int] = {}
 
 
-def runs_needed(recall: float = RECALL, like: float = LIKE) -> int:
-    kept = 1.0
-    for _ in range(DEPTH):
-        kept = 1 - (1 - like * kept) ** 2
-    return math.ceil(math.log(1 - recall) / math.log(1 - kept))
-
-
 def shingles(text: str) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of five words; a text of fewer words has one run, of all of them."""
     words = text.encode("utf-8", "surrogatepass").split()
@@ -75,12 +96,12 @@ def shingles(text: str) -> np.ndarray:
 
 
 def signature(found: np.ndarray) -> bytes:
+    """The lower halves of the least hashes at all places, then the upper halves of those at ROOTS."""
     low = (found >> np.uint64(20)).astype(np.uint32)
     out = np.full(PLACES, 0xFFFFFFFF, dtype=np.uint32)
-    for i in range(0, len(low), 1024):
-        np.minimum(out, (low[i : i + 1024, None] * _MUL + _ADD).min(axis=0), out=out)
-    return out.astype("<u4").tobytes()
-
+    for i in range(0, len(low), 256):
+        np.minimum(out, (low[i : i + 256, None] * _MUL + _ADD).min(axis=0), out=out)
+    return out.astype("<u2").tobytes() + (out[ROOTS] >> np.uint32(16)).astype("<u2").tobytes()
 
 
 def _signed(x: int | None) -> int | None:
@@ -106,7 +127,7 @@ def sketches(documents: DataFrame) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, PLACES)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, PLACES + len(ROOTS))[:, :PLACES]
 
 
 def stars(linked: np.ndarray) -> np.ndarray:
@@ -175,7 +196,7 @@ def _centres(rows: DataFrame) -> DataFrame:
             start = np.arange(len(found))[:, None] * np.ones(PLACES, dtype=int)
             start[1:][found[1:] == found[:-1]] = 0
             run = np.arange(len(found))[:, None] - np.maximum.accumulate(start, axis=0)
-            return found[run.argmax(axis=0), np.arange(PLACES)].astype("<u4").tobytes()
+            return found[run.argmax(axis=0), np.arange(PLACES)].astype("<u2").tobytes() + bytes(2 * len(ROOTS))
 
         for b in batches:
             done = []
@@ -194,7 +215,7 @@ def _centres(rows: DataFrame) -> DataFrame:
 
 def _near_centre(rows: DataFrame) -> DataFrame:
     """rows with `near`, the share of places at which sig and centre agree."""
-    out = schema(node=LONG, set_id=LONG, sig=T.BinaryType(), near=DOUBLE)
+    out = schema(node=LONG, set_id=LONG, at=INT, sig=T.BinaryType(), near=DOUBLE)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -204,35 +225,41 @@ def _near_centre(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(compare, out)
 
 
-def _children(rows: DataFrame, keys: list) -> DataFrame:
-    """rows with node replaced by one child node for each key: a hash of node, place and the value at that place."""
-    place = lambda key: F.pmod(F.xxhash64("node", key), F.lit(PLACES)).cast("int")
-    child = [F.xxhash64(F.col("node"), F.lit(i), F.substring("sig", place(k) * 4 + 1, F.lit(4))) for i, k in enumerate(keys)]
-    return rows.select("set_id", F.explode(F.array(*child)).alias("node"))
+def _children(rows: DataFrame, places: list, upper: list | None = None) -> DataFrame:
+    """rows with node replaced by one child node for each place: a hash of node, place and the value there; at is its place.
+    upper: where in the signature the upper halves of these values are."""
+    half = lambda k: F.substring("sig", k * 2 + 1, F.lit(2))
+    values = [[half(k), *([half(upper[i])] if upper else [])] for i, k in enumerate(places)]
+    child = [F.struct(F.xxhash64("node", k, *v).alias("node"), k.cast("int").alias("at")) for k, v in zip(places, values)]
+    return rows.select("set_id", F.explode(F.array(*child)).alias("child")).select("child.node", "set_id", "child.at")
 
 
 def candidates(reps: DataFrame, recall: float = RECALL) -> DataFrame:
     """Edges (a, b) between sets (set_id, sig) whose components hold every likely pair."""
+    runs = runs_needed(recall)
+    if runs > RUNS:
+        raise ValueError(f"a recall of {recall} takes {runs} runs, signatures have places for {RUNS}")
     roots = reps.select("set_id", "sig", F.lit(0).cast("long").alias("node"))
-    placed = _children(roots, [F.lit(i) for i in range(2 * runs_needed(recall))])
+    placed = _children(roots, [F.lit(k) for k in ROOTS[: 2 * runs]], [F.lit(PLACES + i) for i in range(2 * runs)])
     found = []
     for depth in range(1, DEPTH + 1):
-        placed = common.stash(placed.select("node", "set_id"), "paths")
+        placed = common.stash(placed.select("node", "set_id", "at"), "paths")
         shared = placed.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         rows = common.stash(placed.join(shared, "node").join(reps.select("set_id", "sig"), "set_id"), "nodes")
         found.append(common.stash(_small_nodes(rows.where(F.col("n") <= SMALL)), "edges"))
-        large = rows.where(F.col("n") > SMALL).select("node", "set_id", "sig", "n")
+        large = rows.where(F.col("n") > SMALL).select("node", "set_id", "at", "sig", "n")
         some = large.where(F.pmod(F.xxhash64("set_id", "node"), F.col("n")) < CENTRE).select("node", "sig")
         centres = common.stash(_centres(some), "centres")
         if centres.isEmpty():
             break
-        with_centre = large.join(centres, "node", "left").withColumn("centre", F.coalesce("centre", F.lit(bytes(4 * PLACES))))
+        with_centre = large.join(centres, "node", "left").withColumn("centre", F.coalesce("centre", F.lit(bytes(2 * (PLACES + len(ROOTS))))))
         near = common.stash(_near_centre(with_centre), "near")
         # At the last level all of a node are candidates: they agree in as many places as there are levels.
         close = near.where(F.col("near") >= (MAYBE if depth < DEPTH else 0.0)).select("node", "set_id")
         hubs = common.stash(close.groupBy("node").agg(F.min("set_id").alias("a")), "hubs")
         found.append(close.join(hubs, "node").where("a <> set_id").select("a", F.col("set_id").alias("b")))
-        placed = _children(near.where(F.col("near") < SURELY), [F.lit(-1), F.lit(-2)])
+        below = F.col("at") + F.col("at") % TREE + 2
+        placed = _children(near.where(F.col("near") < SURELY), [below, below + 1])
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
