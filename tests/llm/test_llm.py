@@ -269,6 +269,13 @@ def test_partners_away_from_the_centre_of_a_large_group(spark):
     assert similar.lost_odds(similar.RUNS) <= 1 - similar.RECALL
 
 
+def test_repeated_rows_of_a_representative(spark):
+    text = " ".join(f"w{k}" for k in range(100))
+    rows = [(1, text), (1, text), (2, text + " more"), (1, "another text of doc 1"), (3, text + " other")]
+    found = similar.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in found) == [(1, 1, 0), (1, 1, 3), (1, 1, 3), (2, 1, 3), (3, 1, 3)]
+
+
 def test_pipeline_stages(spark, small):
     import corpus_pipeline
 

@@ -326,7 +326,8 @@ def _verify(units: DataFrame, like: float) -> DataFrame:
                 if held and any(held[0][c] != r[c] for c in UNIT):
                     yield links(held)
                     held = []
-                held.append(r)
+                if not held or held[-1]["set_id"] != r["set_id"]:
+                    held.append(r)
         if held:
             yield links(held)
 
@@ -361,9 +362,11 @@ def join(documents: DataFrame, like: float = LIKE, recall: float = RECALL) -> Da
     out = schema(set_id=LONG, root=LONG, blocks=INT, block=INT, copies=LONG, found=T.BinaryType())
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()  # a set's rows have one doc_id, so they meet in this task, or in a few if the join is split
         for b in batches:
             sets = [shingles(t or "") for t in b.column("text").to_pylist()]
-            same = pa.array([set_id(s) == i for s, i in zip(sets, b.column("set_id").to_pylist())], pa.bool_())
+            ids = b.column("set_id").to_pylist()
+            same = pa.array([i not in done and set_id(s) == i and not done.add(i) for s, i in zip(sets, ids)], pa.bool_())
             found = pa.array([s.tobytes() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), found], names=out.names).filter(same)
 
