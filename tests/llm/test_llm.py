@@ -134,6 +134,15 @@ def test_licence_variants_match(spark):
     assert {r.doc_id: r.licence for r in licences.scan(docs, licences.known_licences(spark)).collect()} == {1: "MIT", 2: None, 3: None}
 
 
+def test_usual_licences_and_titles_match(spark):
+    mit = dict(licences.KNOWN)["MIT"].partition("\n\n")[2]
+    texts = {p.stem: p.read_text() for p in (licences.Path(licences.__file__).parent / "licence_texts").glob("*.txt")}
+    asked = [("MIT", mit), ("MIT", "The MIT License (MIT)\n\n" + mit), *((n, "  " + t.upper()) for n, t in texts.items()), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + texts["BSD-3-Clause"])]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(asked)], "doc_id long, text string")
+    found = {r.doc_id: r.licence for r in licences.scan(docs, licences.known_licences(spark)).collect()}
+    assert len(texts) >= 11 and [found[k] for k in range(len(asked))] == [n for n, _ in asked]
+
+
 def test_url_lists_by_hand(spark):
     entries = spark.createDataFrame(
         [("bad.com", "block", 100), ("bad.com", "unlist", 200), ("ok.bad.com", "allow", 150), ("bad.com", "block", 9_000_000), (None, "block", 1)], "pattern string, action string, s long"

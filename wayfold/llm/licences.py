@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,8 +61,30 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, MARKS, " "))
 
 
+#: Title lines under which these licences stand; their texts below stand without a title too.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["Zero-Clause BSD", "BSD Zero Clause License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License"],
+}
+
+
+def all_known() -> list[tuple[str, str]]:
+    """KNOWN and the files of licence_texts, each with its title variants."""
+    rows = KNOWN + [(p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+    found = list(rows)
+    for name, text in rows:
+        if name in TITLES:
+            first, _, rest = text.partition("\n\n")
+            bare = rest if first in TITLES[name] else text
+            found += [(name, bare), *((name, f"{title}\n\n{bare}") for title in TITLES[name])]
+    return found
+
+
 def known_licences(spark: SparkSession, rows: list[tuple[str, str]] | None = None) -> DataFrame:
-    return spark.createDataFrame(rows or KNOWN, "licence string, text string")
+    return spark.createDataFrame(rows or all_known(), "licence string, text string")
 
 
 def scan(documents: DataFrame, known: DataFrame) -> DataFrame:
