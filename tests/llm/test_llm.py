@@ -68,6 +68,57 @@ def test_query_equals_sql(spark, small, duck, rows_of, name):
     assert rows_of(queries.queries()[name](spark, small).toPandas()) == rows_of(duck.sql(queries.oracle_sql()[name]).df())
 
 
+def brute_print(text: str, lexicon: list[str], least: int) -> str:
+    """The fingerprint by plain integers: for each subset a polynomial in the mixed hashes of its terms, in their order."""
+    import xxhash
+
+    own = sorted(imatch.terms(text))
+    kept = [t for t in own if t in set(lexicon)]
+    kept = own if len(kept) < least else kept
+    top, out = 1 << 64, ""
+    for k in range(len(imatch.RATES) * imatch.SUBSETS):
+        total, n = 0, 0
+        for t in kept:
+            x = (xxhash.xxh64_intdigest(t) ^ xxhash.xxh64_intdigest(f"subset {k}")) * 0x9E3779B97F4A7C15 % top
+            x = (x ^ (x >> 32)) * 0xD6E8FEB86659FD93 % top
+            if x <= top // imatch.RATES[k // imatch.SUBSETS] - 1:
+                total, n = (total + x * pow(0x9E3779B97F4A7C15, n, top)) % top, n + 1
+        total = (total ^ (total >> 31)) * 0xFF51AFD7ED558CCD % top
+        out += f"{(total >> 40) % 0xFFFF + 1 if n else 0:04x}"
+    return out
+
+
+def test_prints_by_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    counts = {}
+    for t in texts.values():
+        for term in imatch.terms(t):
+            counts[term] = counts.get(term, 0) + 1
+    lexicon = [t for t, n in counts.items() if max(2, imatch.LOW * len(texts)) <= n <= max(2, imatch.HIGH * len(texts))]
+    assert sorted(lexicon) == imatch.lexicon(docs)
+    rows = {r.doc_id: r for r in imatch.with_edits(docs).collect()}
+    order = sorted(texts)
+    for a, b in list(zip(order, order[1:] + order[:1]))[::8]:
+        changed = imatch.edited(texts[a], texts[b])
+        own, its, next_ = (brute_print(t, lexicon, imatch.LEAST) for t in (texts[a], changed, texts[b]))
+        assert (rows[a].fingerprint, rows[a].edited_fingerprint) == (own, its)
+        as_array = lambda h: np.frombuffer(bytes.fromhex(h), dtype=">u2")
+        assert rows[a].near_edited == imatch.likeness(as_array(own), as_array(its)) and rows[a].near_next == imatch.likeness(as_array(own), as_array(next_))
+
+
+def test_few_terms_in_the_band(spark):
+    """On both sides of `least`: three terms in the band or four, and a text with none under least = 0."""
+    rows = [(1, "aa bb cc x1"), (2, "aa bb cc x2"), (3, "aa bb cc dd x3"), (4, "aa bb cc dd x4"), (5, "x5 x6"), *((k, f"y{k}") for k in range(6, 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    band = {r.doc_id: r.fingerprint for r in imatch.fingerprints(docs, least=4).collect()}
+    assert band[1] != band[2] and band[3] == band[4]
+    none = {r.doc_id: r.fingerprint for r in imatch.fingerprints(docs, least=0).collect()}
+    assert none[1] == none[2] != none[3] and set(none[5]) == {"0"}
+    near = {r.doc_id: r.near_next for r in imatch.with_edits(docs, least=0).collect()}
+    assert near[1] == 1.0 and near[3] == 1.0
+
+
 def test_edits_and_prints(spark, odd):
     rows = {r.doc_id: r for r in imatch.with_edits(odd.where("doc_id in (1, 2, 3, 4, 5, 6)")).collect()}
     order = sorted(rows)
@@ -89,8 +140,8 @@ def test_text_statistics_by_hand():
     words = text.split()
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     inside = {k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(i, i + 3)}
-    assert mcd.text_statistics(text) == (len(words), 14, 2, 1, len(inside), 4)
-    assert mcd.text_statistics("") == (0,) * 6
+    assert mcd.text_statistics(text) == (len(words), 14, 2, 1, len(inside), 4, 2, 7)
+    assert mcd.text_statistics("") == (0,) * 8
 
 
 def test_outliers_keep_clean_and_reject_junk(spark, small):
@@ -100,25 +151,83 @@ def test_outliers_keep_clean_and_reject_junk(spark, small):
 
 
 def test_outliers_in_one_share_only(spark):
+    """Texts usual in all but repeated lines or words are rejected; words are drawn as in prose, so some repeat by chance."""
     rng = np.random.default_rng(7)
     fresh = lambda n: [f"w{k:04d}" for k in rng.choice(10000, n, replace=False)]
+    drawn = lambda n: [f"w{int(k):04d}" for k in np.minimum(rng.pareto(0.3, n) * 10, 99_999)]
     tens = lambda words: "\n".join(" ".join(words[i : i + 10]) for i in range(0, len(words), 10))
     texts = []
     for k in range(300):
-        words = fresh(int(rng.integers(150, 260)))
-        texts.append(tens(words) + ("\n" + " ".join(words[:10]) if k % 7 == 0 else ""))
+        words = drawn(int(rng.integers(150, 260)))
+        cuts = [0, *np.cumsum(rng.integers(7, 14, 40)).tolist()]
+        text = "\n".join(" ".join(words[i:j]) for i, j in zip(cuts, cuts[1:]) if i < len(words))
+        texts.append(text + ("\n" + " ".join(words[:10]) if k % 7 == 0 else ""))
     line, rest, half = " ".join(fresh(10)), fresh(200), fresh(100)
     both = "\n".join([*[line] * 10, " ".join(fresh(100))])
     lines_only = "\n".join(x for k in range(20) for x in ("w0000", " ".join(rest[10 * k : 10 * k + 9])))
     words_only = tens([*half[:45], "x0001", *half[:45], *half[45:], *fresh(45)])
     assert mcd.text_statistics(both)[:4:3] == (200, 9) and mcd.text_statistics(both)[4] == 100
-    assert mcd.text_statistics(lines_only)[3:] == (19, 0, 40) and mcd.text_statistics(words_only)[3:5] == (0, 90)
+    assert mcd.text_statistics(lines_only)[3:6] == (19, 0, 40) and mcd.text_statistics(words_only)[3:5] == (0, 90)
     docs = spark.createDataFrame(list(enumerate([*texts, both, lines_only, words_only])), "doc_id long, text string").selectExpr("*", "'en' lang", "'a' source")
     found = {r.doc_id: r for r in mcd.outliers(docs).collect()}
     assert [(found[k].base_failed, found[k].kept) for k in (300, 301, 302)] == [(False, False)] * 3
     assert sum(found[k].kept for k in range(300)) >= 297
 
 
+def test_starts_reach_the_least_determinant_of_all_subsets():
+    import itertools
+
+    rng = np.random.default_rng(1)
+    for seed in range(4):
+        x = rng.normal(size=(15, 3)) @ rng.normal(size=(3, 3))
+        x[:3] += 9
+        ridge = np.full(3, 1e-9)
+        least = min(np.linalg.slogdet(np.cov(x[list(s)].T, bias=True))[1] for s in itertools.combinations(range(15), mcd.kept_rows(15)))
+        found = mcd.least_determinants(x, ridge)
+        assert abs(found[0][0] - least) < 1e-6 and found[0][0] <= found[-1][0]
+
+
+def test_estimates_over_all_rows_equal_one_process(spark):
+    """Groups beyond the sample: distributed C-steps end where C-steps over all rows in one process do."""
+    rng = np.random.default_rng(2)
+    mixing = rng.normal(size=(mcd.P, mcd.P))
+    rows = []
+    for gid in range(2):
+        x = rng.normal(size=(4000, mcd.P)) @ mixing + gid
+        x[:600] += rng.normal(6, 3, (600, mcd.P))
+        rows += [(k, gid, *map(float, r)) for k, r in enumerate(x)]
+    good = spark.createDataFrame(rows, "doc_id long, gid long, " + ", ".join(f"x{i} double" for i in range(mcd.P)))
+    table = np.array([r[2:] for r in rows])
+    ridge = mcd.RIDGE * table.var(axis=0) + 1e-12
+    for r in mcd.estimates(good).collect():
+        own = np.array([x[2:] for x in rows if x[1] == r.gid])
+        least, centre, cov = mcd.least_determinants(own, ridge)[0]
+        assert r.n == 4000 and r.log_det <= least + 1e-3
+        assert np.abs(np.array([r[f"m{i}"] for i in range(mcd.P)]) - centre).max() < 0.02
+        inverse = np.linalg.inv(cov)
+        assert all(abs(r[f"p{i}{j}"] - inverse[i, j]) < 0.03 * np.sqrt(inverse[i, i] * inverse[j, j]) for i in range(mcd.P) for j in range(i, mcd.P))
+
+
+def test_covariance_alone_separates_outliers(spark):
+    """Texts whose statistics are each usual, but not together: long ones with as few distinct words as short ones have."""
+    rng = np.random.default_rng(3)
+    word = lambda k: "w" * int(k % 7) + "".join(chr(97 + int(d)) for d in str(int(k))) + ("," if rng.random() < 0.1 else "")
+    text = lambda n, pool: "\n".join(" ".join(word(k) for k in rng.integers(0, pool, rng.integers(4, 30))) + "." for _ in range(n // 16))
+    texts = [text(int(np.exp(rng.normal(6.0, 0.7)).clip(100, 3000)), int(rng.integers(1500, 3000))) for _ in range(400)] + [text(1200, 120) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' lang", "'a' source")
+    found = mcd.outliers(docs).orderBy("doc_id").toPandas()
+    alone = found.n_distinct[:400]
+    assert alone.min() < found.n_distinct[400:].min() and found.n_distinct[400:].max() < alone.max()
+    assert not found.base_failed[400:].any() and not found.kept[400:].any() and found.kept[:400].mean() > 0.98
+
+
+def test_laws_of_the_cutoff():
+    rng = np.random.default_rng(4)
+    assert abs(mcd.beta_cdf(0.3, 2.5, 4.0) - (rng.beta(2.5, 4.0, 400_000) <= 0.3).mean()) < 0.004
+    assert abs(mcd.chi2_cdf(4.0, 5) - (rng.chisquare(5, 400_000) <= 4.0).mean()) < 0.004
+    assert mcd.cutoff(30) > mcd.cutoff(100) > mcd.cutoff(10_000) > mcd.quantile(lambda x: mcd.chi2_cdf(x, mcd.P), mcd.LEVEL)
+
+
 def test_mix_meets_targets(spark, small):
     found = balance.mix(spark.read.parquet(f"{small}/documents.parquet")).toPandas()
     assert (found.taken <= 2 * found["size"]).all()
@@ -127,6 +236,34 @@ def test_mix_meets_targets(spark, small):
     assert ((by.taken - by.target).abs() / by.target).max() < 0.05
 
 
+def wrapped(text: str, width: int, mark: str) -> str:
+    import textwrap
+
+    lines = []
+    for part in text.split("\n\n"):
+        lines += [mark + x for x in textwrap.wrap(" ".join(part.split()), width)] + [mark.rstrip()]
+    return "\n".join(lines[:-1])
+
+
+def test_licences_at_every_width_and_behind_comment_marks(spark):
+    names = ["MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Unlicense", "BSL-1.0", "Apache-2.0", "MPL-2.0"]
+    known = dict(reversed(licences.all_known()))
+    rows = [(k, name, wrapped(known[name], width, mark)) for k, (name, width, mark) in enumerate((n, w, m) for n in names for w in range(50, 121) for m in ("", " * ", "# ", "// ") if not m or w % 10 == 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, name string, text string")
+    found = {r.doc_id: r.licence for r in licences.scan(docs, licences.known_licences(spark)).collect()}
+    assert [(n, t[:200]) for k, n, t in rows if found[k] != n] == []
+
+
+def test_notices_go_and_lines_that_begin_alike_stay(spark):
+    texts = ["Copyright 2020 A", "(c) Copyright 2021, B", "© C", " * Copyright (C) <year> D", "Portions copyright 1999 E", "Copyright The F Authors", "All rights reserved.", "body"]
+    body = ["copyright holders be liable", "copyright owner or contributors", "copyright notice and this", "(c) you must retain", "the copyright 2020 x"]
+    rows = spark.createDataFrame([("\n".join(texts),), ("\n".join(body),), ("Sub-licence  the\nnon-commercial   copyright\nowner's licences, fulfil",)], "text string")
+    found = [r[0] for r in rows.select(licences.canonical(rows["text"])).collect()]
+    assert found[0] == "body"
+    assert found[1] == "copyright holders be liable copyright holder or contributors copyright notice and this c you must retain the copyright 2020 x"
+    assert found[2] == "sublicense the noncommercial copyright holder s licenses fulfill"
+
+
 def test_licence_variants_match(spark):
     mit = dict(licences.KNOWN)["MIT"]
     changed = mit.replace("Copyright (c) <year> <copyright holders>", "Copyright 2020 Someone\nCopyright 2021 Else").replace("License", "LICENCE").replace(",", " ;")
@@ -159,13 +296,20 @@ def test_ids_equal_whole_encoding(name):
     import pyarrow as pa
     from tokenizers import Tokenizer
 
-    texts = [r[1] or "" for r in ROWS] + ["a  b", "x  y", "tab\t z", "it's, ok...\n\nno", " lead", "trail ", "\n", "a̸, ﬁ Ǆ", "日本 語, ok"]
+    texts = [r[1] or "" for r in ROWS] + ["a  b", "x  y", "tab\t z", "it's, ok...\n\nno", " lead", "trail ", "\n", "a̸, ﬁ Ǆ", "日本 語, ok", "a <|endoftext|> b", "x<|startoftext|>y, <|EndOfText|> z"]
     whole = Tokenizer.from_file(tokens.default_path(name))
-    whole.encode_special_tokens = True
     wanted = [np.array(x.ids, dtype="<u4").tobytes() for x in whole.encode_batch(texts, add_special_tokens=False)]
     assert tokens.encoder(tokens.default_path(name)).encode(pa.array(texts)) == wanted
 
 
+def test_special_strings_as_text():
+    import pyarrow as pa
+
+    path, ids = tokens.default_path("byte_bpe_50k.json"), lambda x: np.frombuffer(x, dtype="<u4").tolist()
+    assert ids(tokens.encoder(path).encode(pa.array(["a <|endoftext|> b"]))[0]) == [64, 220, 50256, 275]
+    assert 50256 not in ids(tokens.encoder(path, specials_as_text=True).encode(pa.array(["a <|endoftext|> b"]))[0])
+
+
 def test_orc_round_trip_and_pruning(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     target = stash_path(spark, "orc")
@@ -202,6 +346,31 @@ def test_sequences_hold_the_pieces(spark, odd):
     assert sum(len(r.ids) for r in found) == total and max(len(r.ids) for r in found) <= 2048
 
 
+def test_weights_by_naive_search():
+    rng = np.random.default_rng(9)
+    words = {" bad ": 2.0, " awfu": 3.0, " awful ": 2.5, " x": 1.0}
+    matcher = toxicity.automaton(words, ("bad luck",))
+    pool = ["bad", "luck", "awful", "awfully", "x1", "fine", "BAD", "b4d", "a"]
+    for _ in range(200):
+        text = " ".join(rng.choice(pool, rng.integers(0, 12)))
+        folded, total, hits = toxicity.fold(text), 0.0, 0
+        free = [i for i in range(len(folded)) if folded.startswith(" bad luck ", i)]
+        for at in range(len(folded)):
+            own = [w for e, w in words.items() if folded.startswith(e, at)]
+            if own and not any(f <= at < f + len(" bad luck ") - 1 for f in free):
+                total, hits = total + max(own), hits + 1
+        assert toxicity.weigh(matcher, text) == (total, hits, len(folded.split()))
+
+
+def test_no_entry_is_cut_off(spark):
+    """Hundreds of words that only toxic texts have are all kept."""
+    bad = [f"bad{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(600)]
+    rows = [(" ".join(bad[k % 5 :: 5]) + f" w{k}", 1) for k in range(200)] + [(f"w{k} fine words here", 0) for k in range(1000)]
+    found = toxicity.lexicon(spark.createDataFrame(rows, "text string, toxic long"))
+    folded = [toxicity.fold(w) for w in bad]
+    assert all(any(f.startswith(e) for e in found) for f in folded)
+
+
 def test_folding_and_exceptions():
     assert toxicity.fold("Аn 1d10t, m0r0n 2024 $tupid!") == " an idiot moron 2024 stupid "
     found = toxicity.automaton({" trash ": 2.0, " idio": 3.0})
@@ -241,6 +410,16 @@ def test_line_runs_by_brute_force(spark):
     assert {r.doc_id: r.n_removed for r in line_runs.report(docs).collect()} == brute_runs(texts)
 
 
+def test_many_rows_of_one_key_join_like_few(spark):
+    from wayfold.llm import common
+
+    rows = spark.createDataFrame([(k, 0 if k % 3 else k) for k in range(3000)] + [(3000, None)], "i long, k long")
+    table = rows.where("k is not null").groupBy("k").count().withColumnRenamed("count", "n")
+    found = common.join_counted(rows, table, ["k"], 3001)
+    assert sorted((r.i, r.n) for r in found.collect()) == sorted((k, 2001 if k % 3 or not k else 1) for k in range(3000))
+    assert common.join_counted(rows, table, ["k"], 3001, "left").where("n is null").count() == 1
+
+
 def brute_links(texts: list[str]) -> list[int]:
     sets = [set(similar.shingles(t).tolist()) for t in texts]
     hit = lambda a, b: a and b and len(a & b) >= 0.8 * len(a | b) - 1e-9
@@ -285,6 +464,38 @@ def test_repeated_rows_of_a_representative(spark):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in found) == [(1, 1, 0), (1, 1, 3), (1, 1, 3), (2, 1, 3), (3, 1, 3)]
 
 
+def test_one_large_cluster_is_sent_a_few_times(spark):
+    """Sets of one cluster are sent once for every BLOCK sets, so 3000 near copies make 6000 rows, not 3000 x 12."""
+    rng = np.random.default_rng(13)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for k in range(3000):
+        words = list(base)
+        words[int(rng.integers(0, 200))] = f"x{k}"
+        texts.append(" ".join(words))
+    found = similar.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    sets = [set(similar.shingles(t).tolist()) for t in texts]
+    for k in range(0, 3000, 300):
+        assert found.n_links[found.doc_id == k].iloc[0] == sum(len(sets[k] & s) >= 0.8 * len(sets[k] | s) - 1e-9 for s in sets) - 1
+    assert found.class_id.nunique() == 1
+
+
+def test_stages_with_awkward_rows(spark, odd, none, labels, tmp_path):
+    """Nulls, ties, repeated rows and ids, clashing extra columns and no rows, in every stage of the pipeline."""
+    import corpus_pipeline
+
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    wanted = {"toxicity": len(ROWS), "line dedup": len(ROWS), "mixing sources to target weights": None, "n-gram Jaccard join": 10}
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, odd, str(tmp_path)).toPandas()
+        assert stage(spark, none, str(tmp_path)).count() == 0
+        if name in wanted:
+            assert list(found.columns) == corpus_pipeline.COLUMNS
+            assert wanted[name] is None or len(found) == wanted[name], name
+    mixed = balance.mix(odd).toPandas()
+    assert len(balance.repeat(odd, balance.mix(odd)).toPandas()) == mixed.copies.sum()
+
+
 def test_pipeline_stages(spark, small):
     import corpus_pipeline
 

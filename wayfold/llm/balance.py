@@ -14,8 +14,8 @@ from pyspark.sql import Window as W
 
 from wayfold.llm import common
 
-#: Newton steps at most, and the relative error in tokens at which they end.
-STEPS, CLOSE = 60, 1e-7
+#: Newton steps until an error is raised, and the relative error in tokens at which they end.
+STEPS, CLOSE = 100, 1e-7
 #: Parts that the documents of one source and size are counted in.
 SALTS = 256
 #: Single copies moved for each source after rounding.
@@ -90,9 +90,12 @@ def solve(cells: DataFrame, aims: DataFrame, most: float = 2.0) -> DataFrame:
             .when((F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high")), F.col("newton"))
             .otherwise((F.col("low") + F.col("high")) / 2)
         )
-        state = common.stash(stepped.select(*aims.columns, tilt.alias("tilt"), "low", "high", "error"), "tilts")
+        old, state = state, common.stash(stepped.select(*aims.columns, tilt.alias("tilt"), "low", "high", "error"), "tilts")
+        common.drop(old)
         if (state.agg(F.max("error")).first()[0] or 0.0) <= CLOSE:
             break
+    else:
+        raise RuntimeError(f"the tokens of a source are still off their target after {STEPS} steps")
     return state.select(*aims.columns, "tilt")
 
 
@@ -157,8 +160,23 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
 
 
 def repeat(documents: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: every row of documents (with unique doc_id) as many times as `mixed` has copies of it."""
-    counts = mixed.select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies")).where("copies > 0")
-    joined = documents.join(counts, documents["doc_id"].eqNullSafe(counts["__id"]))
+    """The mix itself: every row of documents as many times as `mixed` has copies of it.
+
+    Rows of one doc_id are told apart by size, and where these are equal too they take the copies in any order. Null
+    doc_ids match each other. Extra columns are kept.
+    """
+    own = [F.col(f"`{c}`") for c in documents.columns]
     spread = F.explode(F.sequence(F.lit(1), F.col("__copies")))
-    return joined.withColumn("__copy", spread).select(*[F.col(f"`{c}`") for c in documents.columns])
+    ids = common.stash(mixed.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"), F.min("copies").alias("__copies")), "mixed-ids")
+    joined = documents.join(ids, documents["doc_id"].eqNullSafe(ids["__id"]))
+    single = joined.where("__rows = 1 and __copies > 0").withColumn("__copy", spread).select(*own)
+    if ids.where("__rows > 1").isEmpty():
+        return single
+    rows = W.partitionBy("__id", "__size")
+    numbered = joined.where("__rows > 1").drop("__copies").withColumn("__size", common.word_count(F.col("text")))
+    numbered = numbered.withColumn("__k", F.row_number().over(rows.orderBy(F.xxhash64("text"))))
+    copies = mixed.select(F.col("doc_id").alias("__i"), F.col("size").alias("__s"), F.col("copies").alias("__copies"))
+    copies = copies.withColumn("__n", F.row_number().over(W.partitionBy("__i", "__s").orderBy("__copies")))
+    on = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__size") == F.col("__s")) & (F.col("__k") == F.col("__n"))
+    many = numbered.join(copies.where("__copies > 0"), on).withColumn("__copy", spread).select(*own)
+    return single.unionByName(many)

@@ -19,11 +19,13 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (where that is unset, as in tests)
-    a temporary folder of this process."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (where that is unset and all runs in one
+    process, as in tests) a temporary folder of this process. Raises on a cluster without that setting."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return f"{found.rstrip('/')}/wayfold-{spark.sparkContext.applicationId}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _local:
         _local["dir"] = tempfile.mkdtemp(prefix="wayfold-")
         atexit.register(shutil.rmtree, _local["dir"], ignore_errors=True)
@@ -38,7 +40,19 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     path = stash_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._stashed = path
+    return found
+
+
+def drop(*stashed: DataFrame | None) -> None:
+    """Delete scratch tables, those that stash returned, when nothing unwritten reads them any more."""
+    for df in stashed:
+        path = getattr(df, "_stashed", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:
@@ -78,9 +92,36 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(renamed, on, how).drop(*[f"__{k}" for k in keys])
 
 
-def batch_rows(spark: SparkSession, rows: int) -> None:
-    """Rows of an Arrow batch handed to Python: few, since texts may be long."""
+#: A key counts as hot if it has more than this share of all rows, so there are fewer than 1 / HOT hot keys.
+HOT = 1 / 1000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """Join of rows with table, which has one row for each key and in `n` the number of rows with it (total: of all).
+
+    Hot keys, at most 1 / HOT of them, are broadcast; their rows don't meet in a task. The others join by shuffle. Rows
+    without a match, such as those with null keys, are dropped ("inner") or have nulls ("left"). n is kept.
+    """
+    values = [c for c in table.columns if c not in keys]
+    hot = F.col("n") > max(1, int(total * HOT))
+    mine = [F.col(k).alias(f"__{k}") for k in keys]
+    own = [F.col(c) for c in rows.columns]
+    few = F.broadcast(table.where(hot).select(*mine, F.struct(*values).alias("__hot")))
+    marked = rows.join(few, [rows[k] == few[f"__{k}"] for k in keys], "left").select(*own, "__hot")
+    # Rows of hot keys are dealt by a hash of their own, which meets nothing.
+    deal = F.when(F.col("__hot").isNotNull(), F.xxhash64(*own).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long"))
+    many = table.where(~hot).select(*keys, F.struct(*values).alias("__cold"), F.lit(0).cast("long").alias("__deal"))
+    joined = marked.withColumn("__deal", deal).join(many, [*keys, "__deal"], "left")
+    found = F.coalesce("__hot", "__cold")
+    joined = joined if how == "left" else joined.where(found.isNotNull())
+    return joined.select(*own, *[found[v].alias(v) for v in values])
+
+
+def batch_rows(spark: SparkSession, rows: int, mb: int = 64) -> None:
+    """Rows and megabytes of an Arrow batch handed to Python: few, since texts may be long. Plans read these settings when
+    they run, so they stay set in the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
 LONG, INT, DOUBLE, STRING, BOOL = T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType(), T.BooleanType()

@@ -1,8 +1,10 @@
 """I-Match fingerprints: terms within a band of inverse document frequency, sorted and distinct, hashed over several
 randomised subsets of that lexicon.
 
+A fingerprint is one hash for each subset: of the sorted list of those of the text's distinct terms that the subset holds.
 The subsets are drawn at several rates, so that a short text has some subset with a few of its terms, and a long text
-some subset with only a few. Where a text has under `least` terms in the band, all its terms count.
+some subset with only a few: one rate of the original method fits one length. Where a text has under `least` terms in the
+band, all its terms count (with `least` 0 they never do, and a text without terms in the band has zeros alone).
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ TERM = re.compile(r"\w+")
 RATES, SUBSETS = (1, 4, 16, 64, 256, 1024), 24
 #: The band: terms of at least LOW and at most HIGH of all texts (and of two texts at least).
 LOW, HIGH, LEAST = 0.001, 0.2, 4
+#: Terms of the lexicon beyond which an error is raised, since it goes to every task.
+MOST_TERMS = 3_000_000
 _FLUSH = 400_000
 
 
@@ -39,7 +43,7 @@ def lexicon(documents: DataFrame, low: float = LOW, high: float = HIGH) -> list[
     """The terms within the band, sorted. Document frequencies are counted over all documents.
 
     At most (mean distinct terms of a text) / low terms can lie within it, however many documents there are: a few
-    hundred thousand for ordinary texts. So they are collected and broadcast.
+    hundred thousand for ordinary texts. So they are collected and broadcast; more than MOST_TERMS raise an error.
     """
     docs = common.only(documents, "text").where(F.col("text").isNotNull())
     n = documents.count()
@@ -62,27 +66,50 @@ def lexicon(documents: DataFrame, low: float = LOW, high: float = HIGH) -> list[
 
     found = docs.mapInArrow(count, out).groupBy("term").agg(F.sum("n").alias("n"))
     band = found.where((F.col("n") >= max(2, math.ceil(low * n))) & (F.col("n") <= max(2, high * n)))
-    return sorted(r["term"] for r in band.select("term").toLocalIterator())
+    band = common.stash(band.select("term"), "lexicon")
+    if band.count() > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms within the band; raise `low`")
+    terms_ = sorted(r["term"] for r in band.toLocalIterator())
+    common.drop(band)
+    return terms_
 
 
 _SEEDS = np.array([xxhash.xxh64_intdigest(f"subset {i}") for i in range(len(RATES) * SUBSETS)], dtype=np.uint64)
 _LIMITS = np.repeat(np.array([(1 << 64) // r - 1 for r in RATES], dtype=np.uint64), SUBSETS)
 
 
+_POWERS = np.array([1], dtype=np.uint64)
+
+
+def _powers(n: int) -> np.ndarray:
+    """1, B, B^2, ... for a fixed odd B, n of them at least."""
+    global _POWERS
+    while len(_POWERS) < n:
+        _POWERS = np.concatenate([_POWERS, _POWERS * np.uint64(pow(0x9E3779B97F4A7C15, len(_POWERS), 1 << 64))])
+    return _POWERS
+
+
 def subset_hashes(hashes: np.ndarray) -> np.ndarray:
-    """For each subset the 16-bit hash of those of the sorted distinct terms that it holds; 0 where it holds none."""
+    """For each subset the 16-bit hash of the list of those terms (given by their hashes, in the order of the terms) that
+    it holds: a polynomial in their hashes, so the order counts; 0 where it holds none."""
     out = np.zeros(len(_SEEDS), dtype=np.uint64)
-    held = np.zeros(len(_SEEDS), dtype=bool)
+    sizes = np.zeros(len(_SEEDS), dtype=np.int64)
+    powers = _powers(len(hashes))
     for i in range(0, len(hashes), 512):
-        mixed = hashes[i : i + 512, None] ^ _SEEDS
-        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed = (hashes[i : i + 512] ^ _SEEDS[:, None]) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(32)
         mixed *= np.uint64(0xD6E8FEB86659FD93)
-        member = (mixed ^ (mixed >> np.uint64(29))) <= _LIMITS
-        out += np.where(member, mixed * np.uint64(0xFF51AFD7ED558CCD), np.uint64(0)).sum(axis=0, dtype=np.uint64)
-        held |= member.any(axis=0)
+        member = np.flatnonzero(mixed <= _LIMITS[:, None])
+        subset = member // mixed.shape[1]
+        counts = np.bincount(subset, minlength=len(_SEEDS))
+        starts = np.cumsum(counts) - counts
+        place = np.arange(len(member)) - starts[subset] + sizes[subset]
+        products = np.concatenate([mixed.ravel()[member] * powers[place], np.zeros(1, np.uint64)])
+        out += np.where(counts > 0, np.add.reduceat(products, starts), np.uint64(0))
+        sizes += counts
     out ^= out >> np.uint64(31)
-    return np.where(held, (out >> np.uint64(13)) % np.uint64(0xFFFF) + np.uint64(1), np.uint64(0)).astype(">u2")
+    out *= np.uint64(0xFF51AFD7ED558CCD)
+    return np.where(sizes > 0, (out >> np.uint64(40)) % np.uint64(0xFFFF) + np.uint64(1), np.uint64(0)).astype(">u2")
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -104,20 +131,21 @@ def edited(text: str, following: str) -> str:
 
 
 class Prints:
-    """Fingerprints of texts under one lexicon, with the terms' hashes remembered."""
+    """Fingerprints of texts under one sorted lexicon, whose terms are numbered in their order."""
 
-    def __init__(self, words: list[str]):
-        self.known = {w: xxhash.xxh64_intdigest(w) for w in words}
+    def __init__(self, words: list[str], least: int = LEAST):
+        self.number, self.least = {w: k for k, w in enumerate(words)}, least
+        self.hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
 
     def __call__(self, text: str) -> np.ndarray:
         own = terms(text)
-        found = [self.known[t] for t in own if t in self.known]
-        if len(found) < LEAST:
-            found = [xxhash.xxh64_intdigest(t) for t in own]
-        return subset_hashes(np.array(sorted(found), dtype=np.uint64))
+        found = [n for n in map(self.number.get, own) if n is not None]
+        if len(found) < self.least:
+            return subset_hashes(np.array([xxhash.xxh64_intdigest(t) for t in sorted(own)], dtype=np.uint64))
+        return subset_hashes(self.hashes[np.sort(np.array(found, dtype=np.int64))])
 
 
-def fingerprints(documents: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+def fingerprints(documents: DataFrame, low: float = LOW, high: float = HIGH, least: int = LEAST) -> DataFrame:
     """doc_id, fingerprint of every text (a null one is empty): four hexadecimal digits for each subset.
 
     Equal texts have equal fingerprints. Repeated rows are kept, extra columns ignored; an empty table gives no rows.
@@ -126,7 +154,7 @@ def fingerprints(documents: DataFrame, low: float = LOW, high: float = HIGH) ->
     out = schema(doc_id=LONG, fingerprint=STRING)
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints = Prints(words.value)
+        prints = Prints(words.value, least)
         for b in batches:
             found = [prints(t or "").tobytes().hex() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.string())], names=out.names)
@@ -134,9 +162,11 @@ def fingerprints(documents: DataFrame, low: float = LOW, high: float = HIGH) ->
     return common.only(documents, "doc_id", "text").mapInArrow(fingerprint, out)
 
 
-def with_edits(documents: DataFrame, low: float = LOW, high: float = HIGH, rows_per_part: int = 3000) -> DataFrame:
+def with_edits(documents: DataFrame, low: float = LOW, high: float = HIGH, least: int = LEAST, rows_per_part: int = 3000) -> DataFrame:
     """Fingerprints of every text and of its edit (see `edited`), with the likeness of the two and that to the next
-    document's, by ascending doc_id (null first; repeated ids by text; after the last comes the first).
+    document's, by ascending doc_id (null first; repeated ids by text; after the last comes the first). Null texts are
+    empty ones. Texts of any length are read whole. Repeated rows are kept, extra columns ignored; an empty table gives no
+    rows, and a single document is followed by itself.
 
     Documents are dealt out by ranges of doc_id. All but the last of each range find their follower there; for those
     last ones, the first of the next range is looked up in a table of two rows a range. Both read one exchange.
@@ -159,7 +189,7 @@ def with_edits(documents: DataFrame, low: float = LOW, high: float = HIGH, rows_
         return pa.RecordBatch.from_pylist([{n: r.get(n) for n in kind.names} for r in rows], schema=to_arrow_schema(kind))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints, last = Prints(words.value), None
+        prints, last = Prints(words.value, least), None
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
@@ -185,7 +215,7 @@ def with_edits(documents: DataFrame, low: float = LOW, high: float = HIGH, rows_
     bounds = sides.select("doc_id", "text", F.coalesce(F.lead("first").over(place), head).alias("next_text"))
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints = Prints(words.value)
+        prints = Prints(words.value, least)
         for b in batches:
             yield arrow([row(prints, r["doc_id"], r["text"], prints(r["text"]), r["next_text"], prints(r["next_text"])) for r in b.to_pylist()], result)
 

@@ -9,21 +9,19 @@ from pyspark.sql import functions as F
 
 from wayfold.llm import common
 
-# Equivalent spellings, each replaced by the second.
+# Equivalent spellings of words and phrases (without punctuation), each read as the second.
 SPELLINGS = [
-    ("licence", "license"),
-    ("sublicence", "sublicense"),
-    ("copyright owner", "copyright holder"),
-    ("organisation", "organization"),
-    ("merchantibility", "merchantability"),
-    ("non-infringement", "noninfringement"),
-    ("sub-license", "sublicense"),
-    ("favour", "favor"),
-    ("behaviour", "behavior"),
-    ("wilful", "willful"),
-    ("fulfil ", "fulfill "),
-    ("https:", "http:"),
-]
+    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("licencing", "licensing"), ("licencor", "licensor"), ("licencee", "licensee"),
+    ("sublicence", "sublicense"), ("sub licence", "sublicense"), ("sub license", "sublicense"), ("sub licensed", "sublicensed"), ("sub licensable", "sublicensable"),
+    ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("organisation", "organization"), ("organisations", "organizations"),
+    ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("non commercial", "noncommercial"), ("favour", "favor"),
+    ("behaviour", "behavior"), ("honour", "honor"), ("labour", "labor"), ("wilful", "willful"), ("fulfil", "fulfill"), ("fulfilment", "fulfillment"),
+    ("acknowledgement", "acknowledgment"), ("acknowledgements", "acknowledgments"), ("judgement", "judgment"), ("authorisation", "authorization"),
+    ("authorised", "authorized"), ("authorise", "authorize"), ("recognise", "recognize"), ("recognised", "recognized"), ("utilise", "utilize"),
+    ("utilisation", "utilization"), ("analyse", "analyze"), ("artefact", "artifact"), ("artefacts", "artifacts"), ("cancelled", "canceled"),
+    ("catalogue", "catalog"), ("centre", "center"), ("modelling", "modeling"), ("labelled", "labeled"), ("offence", "offense"), ("defence", "defense"),
+    ("per cent", "percent"), ("programme", "program"), ("realise", "realize"), ("whilst", "while"), ("https", "http"),
+]
 
 # Whole texts of short public licences.
 KNOWN = [
@@ -43,22 +41,52 @@ KNOWN = [
         "WTFPL",
         "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004\n\nCopyright (C) 2004 Sam Hocevar <sam@hocevar.net>\n\nEveryone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.\n\nDO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nTERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION\n\n0. You just DO WHAT THE FUCK YOU WANT TO.",
     ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org/>",
+    ),
+    (
+        "Zlib",
+        "zlib License\n\nCopyright (c) <year> <copyright holders>\n\nThis software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n\n3. This notice may not be removed or altered from any source distribution.",
+    ),
+    (
+        "BSL-1.0",
+        "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\nThe copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
     ("notice-MIT", "Released under the MIT License."),
     ("notice-Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("notice-CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("notice-GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
 ]
 
-COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+# Marks that open a line of a comment in source code, and words that do.
+_COMMENT = r"\n[ \t]*([/*#;%>|!-]+|(rem|dnl)[ \t])*[ \t]*"
+_YEAR = r"(19|20)[0-9][0-9]"
+#: A line that is a copyright notice: the word or sign, followed by a sign, a year or a place to fill in.
+NOTICE = (
+    r"\n(portions[ \t]+)?(copyright[ \t]*[:,]?[ \t]*(by[ \t]+)?(\(c\)|©|[\[<{(]?[ \t]*" + _YEAR + r"|[\[<{])"
+    r"|\(c\)[ \t]*(copyright|[\[<{]?[ \t]*" + _YEAR + r"|<)|©|all rights reserved)[^\n]*\n"
+)
+#: A line that is one by a holder's name: it ends in a word that holders' names end in.
+NAMED = r"\n(portions[ \t]+)?copyright[ \t]+([^\n]*[ \t])?(authors|contributors to the [^\n]+|inc|ltd|llc|gmbh|foundation|corporation|corp|project)[., \t]*\n"
 MARKS = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case; without copyright lines; one spelling of equivalent words; words apart by single spaces."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT, "$1")
+    """Lower case; without comment marks, then without copyright notices; words apart by single spaces; one spelling of
+    equivalent words.
+
+    The rest of the text doesn't depend on where its lines break: a line that merely begins with "copyright" ("copyright
+    holders be liable") is no notice and stays. A notice that is itself broken over lines loses its first line only.
+    """
+    out = F.replace(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    out = F.concat(F.lit("\n"), F.replace(out, F.lit("\n"), F.lit("\n\n")), F.lit("\n"))  # each line between breaks of its own
+    for pattern in (_COMMENT, NOTICE, NAMED):
+        out = F.regexp_replace(out, pattern, "\n")
+    out = F.concat(F.lit(" "), F.regexp_replace(out, MARKS, "  "), F.lit(" "))  # each word between spaces of its own
     for old, new in SPELLINGS:
-        out = F.replace(out, F.lit(old), F.lit(new))
-    return F.trim(F.regexp_replace(out, MARKS, " "))
+        out = F.replace(out, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
+    return F.trim(F.regexp_replace(out, " +", " "))
 
 
 #: Title lines under which these licences stand; their texts below stand without a title too.
@@ -68,6 +96,9 @@ TITLES = {
     "0BSD": ["Zero-Clause BSD", "BSD Zero Clause License"],
     "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License"],
     "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License"],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License 1.0"],
 }
 
 
@@ -90,8 +121,9 @@ def known_licences(spark: SparkSession, rows: list[tuple[str, str]] | None = Non
 def scan(documents: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, digest, n_canonical (code points), licence: that whose canonical text equals the document's, else null.
 
-    Whole texts are compared, by SHA-256. Null, empty and wordless texts match nothing. Of licences with equal canonical
-    texts the least name stands. Every row of documents is returned, repeated ones too; extra columns are ignored.
+    Whole texts are compared, by SHA-256, however long they are. Null, empty and wordless texts match nothing. Of licences
+    with equal canonical texts the least name stands. Every row of documents is returned, repeated ones and null doc_ids
+    too; an empty table gives no rows, an empty list of licences no matches; extra columns are ignored.
     """
     clean = canonical(F.col("text"))
     digests = (
@@ -107,18 +139,22 @@ def scan(documents: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    quote = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    quote = lambda x: "'" + x.replace("'", "''").replace("\n", "\xb6") + "'"
 
     def clean(column: str) -> str:
-        out = f"regexp_replace(lower(coalesce({column}, '')), '(^|\\n)[ \\t]*(copyright|\\(c\\)|©)[^\\n]*', '\\1', 'g')"
+        out = f"replace(replace(lower(coalesce({column}, '')), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+        out = f"chr(10) || replace({out}, chr(10), chr(10) || chr(10)) || chr(10)"
+        for pattern in (_COMMENT, NOTICE, NAMED):
+            out = f"regexp_replace({out}, '{pattern}', chr(10), 'g')"
+        out = f"' ' || regexp_replace({out}, '{MARKS}', '  ', 'g') || ' '"
         for old, new in SPELLINGS:
-            out = f"replace({out}, '{old}', '{new}')"
-        return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+            out = f"replace({out}, ' {old.replace(' ', '  ')} ', ' {new.replace(' ', '  ')} ')"
+        return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
 
-    values = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in KNOWN)
+    values = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in all_known())
     return f"""
-    WITH known AS (SELECT sha256(c) AS d, min(licence) AS licence FROM (
-        SELECT licence, {clean('text')} AS c FROM (VALUES {values}) AS v(licence, text)) WHERE c <> '' GROUP BY 1),
+    WITH listed AS (SELECT licence, replace(joined, '\xb6', chr(10)) AS text FROM (VALUES {values}) AS v(licence, joined)),
+    known AS (SELECT sha256(c) AS d, min(licence) AS licence FROM (SELECT licence, {clean('text')} AS c FROM listed) WHERE c <> '' GROUP BY 1),
     docs AS (SELECT doc_id, {clean('text')} AS c FROM documents)
     SELECT doc_id, sha256(c) AS digest, CAST(length(c) AS BIGINT) AS n_canonical, licence
     FROM docs LEFT JOIN known ON sha256(c) = d

@@ -59,9 +59,13 @@ def suffix_ranks(rows: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Lines that repeat, with r0, r1, ...: the ranks of the blocks of 1, 2, 4, ... lines that start at each; null where
     such a block occurs once or isn't whole. Sorted by these ranks the rows are in the order of the suffix array, as
     deep as a run of least_words words can be long."""
-    twice = rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    ranked = common.stash(_ranks(common.stash(twice, "keys"), ["h1", "h2"]), "ranks")
-    state = common.stash(rows.join(ranked, ["h1", "h2"]).select(*DOC, "seq", "line_no", "words", F.col("rank").alias("r0")), "array")
+    total = rows.count()
+    twice = common.stash(rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    ranked = common.stash(_ranks(twice, ["h1", "h2"]), "ranks")
+    found = common.join_counted(rows, ranked, ["h1", "h2"], total)
+    state = common.stash(found.select(*DOC, "seq", "line_no", "words", F.col("rank").alias("r0")), "array")
+    common.drop(twice, ranked)
+    total = state.count()
     k = 1
     while 2**k <= least_words:
         step, last = 2 ** (k - 1), f"r{k - 1}"
@@ -70,14 +74,17 @@ def suffix_ranks(rows: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
         paired = common.stash(
             state.withColumns({"a": F.when(whole, F.col(last)), "b": F.when(whole, F.lead(last, step).over(along))}), "array"
         )
-        pairs = paired.where("a is not null and b is not null").groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-        ranked = common.stash(_ranks(common.stash(pairs, "keys"), ["a", "b"]), "ranks")
+        common.drop(state)
+        both = "a is not null and b is not null"
+        pairs = common.stash(paired.where(both).groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+        ranked = common.stash(_ranks(pairs, ["a", "b"]), "ranks")
         if ranked.isEmpty():
             state = paired.drop("a", "b")
             break
-        with_both = paired.where("a is not null and b is not null").join(ranked, ["a", "b"], "left")
-        without = paired.where("a is null or b is null").withColumn("rank", F.lit(None).cast("long"))
+        with_both = common.join_counted(paired.where(both), ranked, ["a", "b"], total, "left").drop("n")
+        without = paired.where(f"not ({both})").withColumn("rank", F.lit(None).cast("long"))
         state = common.stash(with_both.unionByName(without).drop("a", "b").withColumnRenamed("rank", f"r{k}"), "array")
+        common.drop(paired, pairs, ranked)
         k += 1
     return state
 
@@ -140,8 +147,8 @@ def later_copies(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     runs = common.stash(smallest_runs(suffix_ranks(rows, least_words), least_words), "runs")
     key = ["n_lines", "a", "b"]
     place = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "text_id", "seq")
-    firsts = runs.groupBy(*key).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
-    found = runs.join(firsts, key).where(place > F.col("first"))
+    firsts = runs.groupBy(*key).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+    found = common.join_counted(runs, firsts, key, runs.count()).where(place > F.col("first"))
     return found.select(*DOC, "seq", "n_lines", "line_nos", F.when(F.col("first.d") > -(2**63), F.col("first.d")).alias("first_doc_id"))
 
 
@@ -150,19 +157,20 @@ def dedup_lines(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFra
 
     Lines are compared without white space at their ends; lines without a word neither count nor break a run, and stay.
     A later copy is deleted even where it overlaps the first. Rows with equal doc_id and text are one text and fare
-    alike. Null texts stay null; extra columns are kept.
+    alike. Null texts stay null and texts of any length are read whole; an empty table gives no rows. Extra columns are
+    kept, but for one named n_removed, which is replaced.
     """
     copies = later_copies(documents, least_words)
     gone = copies.groupBy(*DOC).agg(F.array_distinct(F.flatten(F.collect_list("line_nos"))).alias("__gone"))
     gone = gone.select(F.col("doc_id").alias("__d"), F.col("text_id").alias("__t"), "__gone")
-    on = documents["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(documents["text"]) == F.col("__t"))
-    split = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).when(F.size(stay) == 0, "").otherwise(
+    on = documents["doc_id"].eqNullSafe(gone["__d"]) & (F.xxhash64(documents["text"]) == gone["__t"])
+    split = F.split(documents["text"], "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), gone["__gone"])
+    text = F.when(gone["__gone"].isNull(), documents["text"]).when(F.size(stay) == 0, "").otherwise(
         F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
     )
-    joined = documents.join(gone, on, "left").withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    return joined.withColumn("text", text).drop("__d", "__t", "__gone")
+    own = [text.alias(c) if c == "text" else documents[f"`{c}`"] for c in documents.columns if c != "n_removed"]
+    return documents.join(gone, on, "left").select(*own, F.coalesce(F.size(gone["__gone"]), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def report(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:

@@ -12,8 +12,8 @@ more than SURELY - MAYBE of the places, whatever the centre, and these odds coun
 near copies ends at once.
 
 What these comparisons of signatures join are only candidate clusters. Within each cluster every pair is then compared
-exactly, on the sets themselves; a cluster over BLOCK sets is compared in pairs of blocks. Only links' ends, counts and
-representatives leave a task. Documents of equal sets are one set with a count from the start.
+exactly, on the sets themselves; a cluster over BLOCK sets is compared in pairs of blocks, for which each set is sent
+once for every BLOCK sets of its cluster. Only links' ends, counts and representatives leave a task. Documents of equal sets are one set with a count from the start.
 """
 
 from __future__ import annotations
@@ -34,13 +34,14 @@ from wayfold.llm.components import components
 
 SHINGLE, LIKE = 5, 0.8
 #: Sets that a node may have to be compared at once; levels of splits; sets of a block.
-SMALL, DEPTH, BLOCK = 64, 5, 256
+SMALL, DEPTH, BLOCK = 64, 5, 2048
 #: Places of a run: splits of its tree, numbered as in a heap with two roots.
 TREE = 2 ** (DEPTH + 1) - 2
 #: Sets that a large node's centre is taken from, about.
 CENTRE = 64
-#: Estimated likeness from which two sets are candidates, and that to a node's centre from which a set is split no more.
-MAYBE, SURELY = 0.55, 0.87
+#: Estimated likeness from which two sets of a small node are candidates, that to a node's centre from which sets are
+#: candidates with each other, and that from which a set is split no more.
+LIKELY, MAYBE, SURELY = 0.66, 0.55, 0.87
 RECALL = 0.999
 
 
@@ -55,7 +56,7 @@ def lost_odds(runs: int, like: float = LIKE) -> float:
     for _ in range(DEPTH):
         kept = 1 - (1 - like * kept) ** 2
     maybe, surely = math.ceil(MAYBE * places), math.ceil(SURELY * places)
-    return (1 - kept) ** runs + _differ_odds(places, like, surely - maybe + 1) + _differ_odds(places, like, places - maybe + 1)
+    return (1 - kept) ** runs + _differ_odds(places, like, surely - maybe + 1) + _differ_odds(places, like, places - math.ceil(LIKELY * places) + 1)
 
 
 def runs_needed(recall: float = RECALL, like: float = LIKE) -> int:
@@ -162,7 +163,7 @@ def _small_nodes(rows: DataFrame) -> DataFrame:
             for i, j in zip(np.r_[0, cut].tolist(), np.r_[cut, len(nodes)].tolist()):
                 if j - i > 1:
                     s = sigs[i:j]
-                    linked = (s[:, None, :] == s[None, :, :]).mean(axis=2, dtype=np.float32) >= MAYBE
+                    linked = (s[:, None, :] == s[None, :, :]).mean(axis=2, dtype=np.float32) >= LIKELY
                     root = stars(linked)
                     for k in np.flatnonzero(root != np.arange(j - i)):
                         a.append(int(ids[i + root[k]]))
@@ -244,20 +245,26 @@ def candidates(reps: DataFrame, recall: float = RECALL) -> DataFrame:
     found = []
     for depth in range(1, DEPTH + 1):
         placed = common.stash(placed.select("node", "set_id", "at"), "paths")
+        total = placed.count()
         shared = placed.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        rows = common.stash(placed.join(shared, "node").join(reps.select("set_id", "sig"), "set_id"), "nodes")
+        rows = common.stash(common.join_counted(placed, shared, ["node"], total).join(reps.select("set_id", "sig"), "set_id"), "nodes")
+        common.drop(placed)
         found.append(common.stash(_small_nodes(rows.where(F.col("n") <= SMALL)), "edges"))
         large = rows.where(F.col("n") > SMALL).select("node", "set_id", "at", "sig", "n")
         some = large.where(F.pmod(F.xxhash64("set_id", "node"), F.col("n")) < CENTRE).select("node", "sig")
         centres = common.stash(_centres(some), "centres")
         if centres.isEmpty():
             break
-        with_centre = large.join(centres, "node", "left").withColumn("centre", F.coalesce("centre", F.lit(bytes(2 * (PLACES + len(ROOTS))))))
-        near = common.stash(_near_centre(with_centre), "near")
+        # A large node without a centre would have no set of a hash under CENTRE; its centre is then one that agrees with none.
+        sizes = large.groupBy("node").agg(F.count("*").alias("n")).join(centres, "node", "left")
+        sizes = sizes.withColumn("centre", F.coalesce("centre", F.lit(bytes(2 * (PLACES + len(ROOTS))))))
+        near = common.stash(_near_centre(common.join_counted(large.drop("n"), sizes, ["node"], total)), "near")
+        common.drop(rows, centres)
         # At the last level all of a node are candidates: they agree in as many places as there are levels.
         close = near.where(F.col("near") >= (MAYBE if depth < DEPTH else 0.0)).select("node", "set_id")
-        hubs = common.stash(close.groupBy("node").agg(F.min("set_id").alias("a")), "hubs")
-        found.append(close.join(hubs, "node").where("a <> set_id").select("a", F.col("set_id").alias("b")))
+        hubs = close.groupBy("node").agg(F.min("set_id").alias("a"), F.count("*").alias("n"))
+        joined = common.join_counted(close, hubs, ["node"], total).where("a <> set_id")
+        found.append(common.stash(joined.select("a", F.col("set_id").alias("b")), "edges"))
         below = F.col("at") + F.col("at") % TREE + 2
         placed = _children(near.where(F.col("near") < SURELY), [below, below + 1])
     edges = found[0]
@@ -286,15 +293,17 @@ def exact_pairs(sets: list[np.ndarray], cross: np.ndarray | None, like: float =
     columns, owner = number[inverse[keep]], owner[keep]
     order = np.argsort(columns, kind="stable")
     columns, owner = columns[order], owner[order]
-    common_ = np.zeros((m, m), dtype=np.float64)
-    width = 4096
+    common_ = np.zeros((m, m), dtype=np.float32)  # counts under 2^24, so exact
+    width = 1024
     for low in range(0, int(shared.sum()), width):
         a, b = np.searchsorted(columns, [low, low + width])
         part = np.zeros((m, width), dtype=np.float32)
         part[owner[a:b], columns[a:b] - low] = 1
         common_ += part @ part.T
-    union = sizes[:, None] + sizes[None, :] - common_
-    hit = common_ >= like * union - 1e-9
+    hit = np.empty((m, m), dtype=bool)
+    for i in range(0, m, 256):
+        both = common_[i : i + 256].astype(np.float64)
+        hit[i : i + 256] = both >= like * (sizes[i : i + 256, None] + sizes[None, :] - both) - 1e-9
     np.fill_diagonal(hit, False)
     if cross is not None:
         hit &= cross[:, None] != cross[None, :]
@@ -392,6 +401,13 @@ def join(documents: DataFrame, like: float = LIKE, recall: float = RECALL) -> Da
 
 
 def keep_one(documents: DataFrame, like: float = LIKE) -> DataFrame:
-    """documents without near copies: of each class the row of the least doc_id stays (documents have unique doc_ids)."""
-    classes = join(documents, like).where("doc_id is null or doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
-    return documents.join(classes, documents["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    """documents without near copies: of each class the row of the least doc_id stays.
+
+    Rows with equal doc_id and text are one. Rows of one doc_id with different texts stay if it names their class; rows
+    without a doc_id stay, one of each text. Extra columns are kept; an empty table gives no rows.
+    """
+    classes = common.stash(join(documents, like).select("doc_id", "class_id"), "classes")
+    ids = classes.where("doc_id is null or doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
+    kept = documents.join(ids, documents["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    repeated = classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

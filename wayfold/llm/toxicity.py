@@ -30,10 +30,16 @@ HOMOGLYPHS = {
 # Digits and signs that stand for letters inside words.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
 # Phrases in which a word of the lexicon is harmless.
-EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "clown fish", "class clown", "idiot proof", "pond scum", "sore loser")
-
-#: Lexicon entries at most; labelled texts that an entry needs; log odds that it needs.
-ENTRIES, LEAST_TEXTS, LEAST_ODDS = 2000, 4, 2.5
+EXCEPTIONS = (
+    "trash can", "trash cans", "trash bin", "trash bins", "trash bag", "trash bags", "trash collection", "white trash bag", "clown fish", "class clown",
+    "circus clown", "idiot proof", "pond scum", "soap scum", "sore loser", "garbage can", "garbage truck", "garbage collection", "garbage collector",
+    "garbage disposal", "pig farm", "guinea pig", "guinea pigs", "pig iron", "rat race", "lab rat", "lab rats", "pack rat", "moron test", "dumb bell",
+    "dumb waiter", "stupid question", "stupid questions", "crash test dummy", "dummy variable", "dummy load", "hate crime", "hate speech", "dirty laundry",
+    "sick leave", "sick day", "sick days", "killer whale", "killer whales", "time killer", "weed killer", "dead end", "dead line", "dead sea", "ugly duckling",
+)
+
+#: Log odds that an entry needs; entries of the lexicon beyond which fit raises, since it goes to every task.
+LEAST_ODDS, MOST_ENTRIES = 2.5, 1_000_000
 #: Lengths of beginnings of words that may be entries.
 STARTS = range(4, 9)
 #: Labelled texts that the logistic law is fitted to, about, at most: those of hashes under this share of all.
@@ -66,9 +72,11 @@ def entries_in(folded: str) -> set[str]:
 
 
 def lexicon(train: DataFrame) -> dict[str, float]:
-    """Entries and weights (log odds, halved counts added) from train (text, toxic); at most ENTRIES, the surest first.
+    """Entries and weights (log odds, halved counts added) from train (text, toxic).
 
-    Of entries that begin alike the surer one stands, of equally sure ones the longer. The counts cover every row.
+    An entry needs odds of LEAST_ODDS and a likelihood ratio that chance gives to about one of all candidates, so the
+    rule adjusts itself to the number of texts and words. All that pass are kept, except that of entries that begin alike
+    the surer one stands, of equally sure ones the longer. The counts cover every row. Raises beyond MOST_ENTRIES.
     """
     out = schema(entry=STRING, toxic=LONG, n=LONG)
 
@@ -101,19 +109,22 @@ def lexicon(train: DataFrame) -> dict[str, float]:
     counts = train.select("text", "toxic").mapInArrow(count, out).groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     odds = F.log((F.col("toxic") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("toxic") + 0.5) / (good + 1))
     sure = odds * F.sqrt("toxic")
-    rows = (
-        counts.where(F.col("toxic") >= LEAST_TEXTS)
-        .withColumn("odds", odds)
-        .where(F.col("odds") >= LEAST_ODDS)
-        .orderBy(sure.desc(), F.length("entry").desc(), "entry")
-        .limit(ENTRIES)
-        .collect()
-    )
+    share = bad / (bad + good)
+    term = lambda k, expected: F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
+    rest = F.col("n") - F.col("toxic")
+    ratio = 2 * (term(F.col("toxic"), F.col("n") * share) + term(rest, F.col("n") * (1 - share)))
+    counts = common.stash(counts.select("entry", odds.alias("odds"), sure.alias("sure"), ratio.alias("ratio")), "tox-entries")
+    passed = counts.where((F.col("odds") >= LEAST_ODDS) & (F.col("ratio") >= 2 * math.log(max(counts.count(), 2))))
+    if passed.count() > MOST_ENTRIES:
+        raise ValueError(f"more than {MOST_ENTRIES} lexicon entries pass; raise LEAST_ODDS")
     kept: dict[str, float] = {}
-    for r in rows:
+    begun: set[str] = set()
+    for r in sorted(passed.collect(), key=lambda r: (-r["sure"], -len(r["entry"]), r["entry"])):
         entry = r["entry"]
-        if not any(entry.startswith(k) or k.rstrip().startswith(entry) for k in kept):
+        if entry not in begun and not any(entry[:k] in kept for k in range(1, len(entry) + 1)):
             kept[entry] = float(r["odds"])
+            begun.update(entry.rstrip()[:k] for k in range(1, len(entry.rstrip()) + 1))
+    common.drop(counts)
     return kept
 
 
@@ -195,12 +206,13 @@ def fit(documents: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = E
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, predicted, weight, hits, n_words of every whole text; null texts score as empty ones.
+    """doc_id, text_id (hash of the text), score, predicted, weight, hits, n_words of every text; null ones score as empty.
 
-    Only the text counts. Equal texts have equal scores. Repeated rows are kept, extra columns ignored.
+    Only the text counts, the whole of it however long. Equal texts have equal scores. Repeated rows and null ids are
+    kept, extra columns ignored; an empty table gives no rows.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    out = schema(doc_id=LONG, score=DOUBLE, predicted=INT, weight=DOUBLE, hits=LONG, n_words=LONG)
+    out = schema(doc_id=LONG, text_id=LONG, score=DOUBLE, predicted=INT, weight=DOUBLE, hits=LONG, n_words=LONG)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -211,9 +223,10 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(x @ known.coef, -50, 50)))
             columns = [pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
             columns += [pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=out.names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_id"), *columns], names=out.names)
 
-    return common.only(documents, "doc_id", "text").mapInArrow(judge, out)
+    docs = common.only(documents, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_id"), "text")
+    return docs.mapInArrow(judge, out)
 
 
 def held_out(doc_id) -> Column:
@@ -224,4 +237,4 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted: learnt from the labels that aren't held out, applied to every document."""
     common.batch_rows(documents.sparkSession, 1000)
     model = fit(documents, labels.where(~held_out(F.col("doc_id"))))
-    return score(documents, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "weight", "hits", "n_words")
+    return score(documents, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "weight", "hits", "n_words", "text_id")
