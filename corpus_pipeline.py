@@ -15,10 +15,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity scorer, learnt from the labels of doc_ids outside its held-out fold, doesn't reject."""
+    """Documents that the toxicity scorer, learnt from the labels of doc_ids outside its held-out fold, doesn't reject. Rows
+    are told apart by doc_id (null ones too) and text."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    verdicts = toxicity.score_documents(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(verdicts, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti").select(*COLUMNS)
+    verdicts = toxicity.score_documents(docs, labels).where("predicted = 1")
+    verdicts = verdicts.select(F.col("doc_id").alias("__id"), F.col("text_id").alias("__text_id")).distinct()
+    same = docs["doc_id"].eqNullSafe(verdicts["__id"]) & (F.xxhash64(docs["text"]) == verdicts["__text_id"])
+    return docs.join(verdicts, same, "left_anti").select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
