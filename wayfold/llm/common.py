@@ -92,6 +92,11 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(renamed, on, how).drop(*[f"__{k}" for k in keys])
 
 
+def small(stashed: DataFrame, most: int = 50_000) -> DataFrame:
+    """A stashed table marked for broadcast if it has `most` rows at most, else as it is."""
+    return F.broadcast(stashed) if stashed.count() <= most else stashed
+
+
 #: A key counts as hot if it has more than this share of all rows, so there are fewer than 1 / HOT hot keys.
 HOT = 1 / 1000
 

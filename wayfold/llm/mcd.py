@@ -237,15 +237,17 @@ def _grouped(stats: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
     gid = F.xxhash64("level", F.when(F.col("level") < 2, text("lang")), F.when(F.col("level") < 1, text("source")))
     named = named.select("lang", "source", F.when((F.col("level") < 2) | F.lit(rest >= LEAST_ROWS), gid).alias("gid"))
-    return common.null_safe(stats, named, ["lang", "source"])
+    named = common.stash(named.select(F.col("lang").alias("__l"), F.col("source").alias("__s"), "gid"), "mcd-groups")
+    same = F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s"))
+    return stats.join(common.small(named), same).drop("__l", "__s")
 
 
 def _first_models(good: DataFrame, ridge: np.ndarray) -> DataFrame:
     """The STARTS best models of each group, from at most START_ROWS of its rows, chosen by hash."""
     order = F.xxhash64("doc_id", *_X)
-    sizes = good.groupBy("gid").agg(F.count("*").alias("n"))
+    sizes = common.stash(good.groupBy("gid").agg(F.count("*").alias("n")), "mcd-sizes")
     sample = (
-        good.join(sizes, "gid")
+        good.join(common.small(sizes), "gid")
         .where(F.pmod(order, F.col("n")) < 2 * START_ROWS)
         .withColumn("k", F.row_number().over(W.partitionBy("gid").orderBy(order, *_X)))
         .where(F.col("k") <= START_ROWS)
@@ -300,18 +302,18 @@ def estimates(good: DataFrame) -> DataFrame:
     models = common.stash(_first_models(good, ridge), "mcd")
     finished = None
     for _ in range(STEPS):
-        far = good.join(models, "gid").withColumn("d2", _distance())
+        far = good.join(common.small(models), "gid").withColumn("d2", _distance())
         key = ["gid", "start"]
         near = common.stash(far.groupBy(*key).agg(F.percentile_approx("d2", H, 10_000).alias("most")), "mcd")
         d = [F.col(x) - F.col(f"m{i}") for i, x in enumerate(_X)]
-        moments = far.join(near, key).where("d2 <= most").groupBy(*key).agg(
+        moments = far.join(common.small(near), key).where("d2 <= most").groupBy(*key).agg(
             F.count("*").alias("kept"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(d)], *[F.sum(d[i] * d[j]).alias(f"q{i}{j}") for i, j in _PAIRS]
         )
         stepped = common.stash(_stepped(models, moments, ridge), "mcd")
         common.drop(models, near)
         ended = stepped.where("done")
         finished = ended if finished is None else finished.unionByName(ended)
-        models = stepped.where("not done")
+        models = common.stash(stepped.where("not done"), "mcd")
         if models.isEmpty():
             best = finished.withColumn("k", F.row_number().over(W.partitionBy("gid").orderBy("log_det", "start")))
             return common.stash(best.where("k = 1").select("gid", "n", "log_det", *_MODEL), "mcd")
@@ -342,7 +344,7 @@ def outliers(documents: DataFrame) -> DataFrame:
 
     types = ", ".join(["gid long", *(f"{c} double" for c in _MODEL), "cutoff double", "factor double"])
     limits = common.stash(models.mapInPandas(with_cutoff, types), "mcd-limits")
-    judged = grouped.join(limits, "gid", "left").withColumn("distance2", _distance() / F.col("factor"))
+    judged = grouped.join(common.small(limits), "gid", "left").withColumn("distance2", _distance() / F.col("factor"))
     return judged.select(
         "doc_id", "lang", "source", *_STATS.names, "base_failed", "distance2", "cutoff",
         (~F.col("base_failed") & F.coalesce(F.col("distance2") <= F.col("cutoff"), F.lit(True))).alias("kept"),
