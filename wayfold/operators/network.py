@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from wayfold.operators.numbering import numbered
+
 
 def node_uses(way_nodes: DataFrame) -> DataFrame:
     """node, uses (visits by ways, repeats within a way included), ends (visits as a way's first or last node)."""
@@ -55,14 +57,15 @@ def segment_seconds(metres: Column, limit: Column, average: Column, penalty: Col
     return metres * 3.6 / (limit * average / 100.0) + penalty
 
 
-def edges(segments: DataFrame) -> DataFrame:
-    """One row per edge: source, target, metres, seconds, segments."""
+def edges(segments: DataFrame, *carried: str) -> DataFrame:
+    """One row per edge: source, target, metres, seconds, segments, and columns carried over from its way."""
     return segments.groupBy("way", "edge").agg(
         F.min_by("node", "pos").alias("source"),
         F.max_by("next_node", "pos").alias("target"),
         F.sum("metres").alias("metres"),
         F.sum("seconds").alias("seconds"),
         F.count("*").alias("n_segments"),
+        *[F.first(c).alias(c) for c in carried],
     )
 
 
@@ -70,9 +73,12 @@ def edge_ends(edge_rows: DataFrame) -> DataFrame:
     """Both ends of each edge: node, way, edge, forward (the edge may leave here), backward (it may arrive here).
 
     edge_rows: source, target, oneway."""
-    out = edge_rows.select(F.col("source").alias("node"), "way", "edge", F.lit(0).alias("side"), F.lit(True).alias("forward"), (~F.col("oneway")).alias("backward"))
-    into = edge_rows.select(F.col("target").alias("node"), "way", "edge", F.lit(1).alias("side"), (~F.col("oneway")).alias("forward"), F.lit(True).alias("backward"))
-    return out.unionByName(into)
+    back = ~F.col("oneway")
+    out = F.struct(F.col("source").alias("node"), F.lit(0).alias("side"), F.lit(True).alias("forward"), back.alias("backward"))
+    into = F.struct(F.col("target").alias("node"), F.lit(1).alias("side"), back.alias("forward"), F.lit(True).alias("backward"))
+    kept = ["way", "edge", *(c for c in edge_rows.columns if c not in ("way", "edge", "source", "target", "oneway"))]
+    ends = edge_rows.select(*kept, F.explode(F.array(out, into)).alias("end"))
+    return ends.select("end.node", *kept, "end.side", "end.forward", "end.backward")
 
 
 def degrees(ends: DataFrame) -> DataFrame:
@@ -92,6 +98,21 @@ def turns(ends: DataFrame) -> DataFrame:
     return arrive.join(leave, "node")
 
 
+def turn_counts(ends: DataFrame) -> DataFrame:
+    """node, turns, same_way (turns within one way): products of degrees, so no pair of ends is ever made."""
+    per_way = ends.groupBy("node", "way").agg(F.sum(F.col("backward").cast("long")).alias("i"), F.sum(F.col("forward").cast("long")).alias("o"))
+    return per_way.groupBy("node").agg((F.sum("i") * F.sum("o")).alias("turns"), F.sum(F.col("i") * F.col("o")).alias("same_way")).where("turns > 0")
+
+
+def forbidden_turns(ends: DataFrame, restrictions: DataFrame) -> DataFrame:
+    """The turns that restrictions (from_way, via, to_way) forbid: each joins the ends that arrive by its first way, then
+    those that leave by its second; all other turns are allowed, and never made. `only_` rules are kept out before."""
+    rules = restrictions.select("from_way", F.col("via").alias("node"), "to_way").distinct()
+    arrive = ends.where("backward").select("node", F.col("way").alias("from_way"), F.col("edge").alias("from_edge"), F.col("side").alias("from_side"))
+    leave = ends.where("forward").select("node", F.col("way").alias("to_way"), F.col("edge").alias("to_edge"), F.col("side").alias("to_side"))
+    return rules.join(arrive, ["node", "from_way"]).join(leave, ["node", "to_way"])
+
+
 def restricted(turn_rows: DataFrame, restrictions: DataFrame) -> DataFrame:
     """turns with `forbidden`: a restriction (from_way, via, to_way) forbids them. `only_` rules are kept out before."""
     rules = restrictions.select("from_way", F.col("via").alias("node"), "to_way").distinct().withColumn("forbidden", F.lit(True))
@@ -113,7 +134,6 @@ def merge_parallel(edge_rows: DataFrame) -> DataFrame:
 
 
 def encode(values: DataFrame, column: str, seen: str) -> DataFrame:
-    """value, id: ids from 1 by first occurrence (the least `seen`), the empty value 0. For dictionaries that are small
-    against the data: the ids are numbered in one task."""
+    """value, id: ids from 1 by first occurrence (the least `seen`); the empty value is 0 and has no row."""
     first = values.select(F.trim(F.regexp_replace(column, r"\s+", " ")).alias("value"), seen).where("value <> ''").groupBy("value").agg(F.min(seen).alias("first"))
-    return first.select("value", F.row_number().over(W.orderBy("first", "value")).cast("long").alias("id"))
+    return numbered(first, [F.asc("first"), F.asc("value")], "id", start=1).select("value", "id")

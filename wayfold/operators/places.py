@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from wayfold.operators.numbering import numbered
+
 # Rank of place types among places of equal population.
 TYPE_RANKS = {"City": 6, "Town": 5, "Village": 4, "Hamlet": 3, "Suburb": 0, "None": 0}
 
@@ -18,10 +20,9 @@ def type_rank(kind: Column) -> Column:
 
 
 def importance(places: DataFrame) -> DataFrame:
-    """places (place, name, population, kind) with their rank from 0: population, then type, then name, all ascending.
-    Ranks are numbered in one task: place tables are small against map data."""
-    order = W.orderBy("population", type_rank(F.col("kind")), "name", "place")
-    return places.withColumn("importance", (F.row_number().over(order) - 1).cast("long"))
+    """places (place, name, population, kind) with their rank from 0: population, then type, then name, all ascending."""
+    ranked = places.withColumn("type_rank", type_rank(F.col("kind")))
+    return numbered(ranked, [F.asc(c) for c in ("population", "type_rank", "name", "place")], "importance").drop("type_rank")
 
 
 def suggest(named: DataFrame, prefix: str, amount: int) -> DataFrame:
@@ -34,7 +35,7 @@ def next_characters(named: DataFrame, prefix: str) -> DataFrame:
     """next_char, n: how names that begin with prefix go on."""
     low = F.lower("name")
     wanted = named.where(F.startswith(low, F.lit(prefix.lower())) & (F.length("name") > len(prefix)))
-    return wanted.groupBy(F.substring(low, len(prefix) + 1, 1).alias("next_char")).agg(F.countDistinct("name").alias("n"))
+    return wanted.groupBy(F.substring(low, len(prefix) + 1, 1).alias("next_char")).agg(F.countDistinct("name").alias("n")).orderBy("next_char")
 
 
 def street_lengths(streets: DataFrame) -> DataFrame:

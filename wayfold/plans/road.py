@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from wayfold.functions import geo
 from wayfold.operators import network, places, routing, spatial
+from wayfold.operators.numbering import cut, numbered
 from wayfold.plans import tables
 from wayfold.streaming import gps
 
@@ -35,11 +36,11 @@ def _segments(spark, d) -> DataFrame:
 
 
 def _edges(spark, d) -> DataFrame:
-    return network.edges(_segments(spark, d)).join(tables.ways(spark, d).select("way", "oneway", "kind"), "way")
+    return network.edges(_segments(spark, d), "oneway", "kind")
 
 
 def _ends(spark, d) -> DataFrame:
-    return network.edge_ends(_edges(spark, d))
+    return network.edge_ends(_edges(spark, d).select("way", "edge", "source", "target", "oneway"))
 
 
 @query("SELECT node, uses, ends FROM uses")
@@ -75,25 +76,27 @@ def edge_end_ids(spark, d):
 
 @query("SELECT a.node, count(*) AS turns, sum((a.way = b.way)::INT)::BIGINT AS same_way FROM ends a JOIN ends b ON a.node = b.node AND a.backward AND b.forward GROUP BY 1")
 def turn_pairs(spark, d):
-    same = F.sum((F.col("from_way") == F.col("to_way")).cast("long")).alias("same_way")
-    return network.turns(_ends(spark, d)).groupBy("node").agg(F.count("*").alias("turns"), same)
+    return network.turn_counts(_ends(spark, d))
 
 
 @query("SELECT e.node, w.kind, count(*) AS n FROM ends e JOIN ways w USING (way) GROUP BY 1, 2")
 def type_histogram(spark, d):
-    return _ends(spark, d).join(tables.ways(spark, d).select("way", "kind"), "way").groupBy("node", "kind").agg(F.count("*").alias("n"))
+    return network.edge_ends(_edges(spark, d).select("way", "edge", "source", "target", "oneway", "kind")).groupBy("node", "kind").agg(F.count("*").alias("n"))
 
 
 @query(
     """, r AS (SELECT DISTINCT a.way AS f, a.node, b.way AS t FROM ends a JOIN ends b USING (node) WHERE a.way < b.way AND (a.way + b.way) % 40 = 0)
-    SELECT a.node, a.way AS from_way, a.edge AS from_edge, a.side AS from_side, b.way AS to_way, b.edge AS to_edge, b.side AS to_side, r.f IS NOT NULL AS forbidden
-    FROM ends a JOIN ends b ON a.node = b.node AND a.backward AND b.forward LEFT JOIN r ON r.f = a.way AND r.node = a.node AND r.t = b.way"""
+    SELECT a.node, a.way AS from_way, a.edge AS from_edge, a.side AS from_side, b.way AS to_way, b.edge AS to_edge, b.side AS to_side
+    FROM ends a JOIN ends b ON a.node = b.node AND a.backward AND b.forward JOIN r ON r.f = a.way AND r.node = a.node AND r.t = b.way"""
 )
 def restriction_match(spark, d):
-    ends = _ends(spark, d)
-    a, b = ends.select("node", F.col("way").alias("from_way")), ends.select("node", F.col("way").alias("to_way"))
-    rules = a.join(b, "node").where("from_way < to_way and (from_way + to_way) % 40 = 0").select("from_way", F.col("node").alias("via"), "to_way")
-    return network.restricted(network.turns(ends), rules)
+    """Forbidden turns alone; the rules are derived from pairs of ways at a node whose sums are divisible by 40."""
+    ends = cut(_ends(spark, d).select("node", "way", "edge", "side", "forward", "backward"))
+    at = ends.select("node", "way").distinct()
+    a = at.select("node", F.col("way").alias("from_way"), F.pmod(F.col("way"), F.lit(40)).alias("rest"))
+    b = at.select("node", F.col("way").alias("to_way"), F.pmod(-F.col("way"), F.lit(40)).alias("rest"))
+    rules = a.join(b, ["node", "rest"]).where("from_way < to_way").select("from_way", F.col("node").alias("via"), "to_way")
+    return network.forbidden_turns(ends, rules)
 
 
 @query("SELECT value, row_number() OVER (ORDER BY first, value) AS id FROM (SELECT trim(regexp_replace(p_name, '\\s+', ' ', 'g')) AS value, min(p_partkey) AS first FROM part GROUP BY 1) WHERE value <> ''")
@@ -163,6 +166,25 @@ def nearest_edge(spark, d):
     return spatial.nearest_segment(tables.points(spark, d), segments, 512)
 
 
+_HEADED = """, pairs AS (SELECT point, way, pos, px, py, x, y, next_x, next_y, oneway, point % 360 AS heading, (next_x-x)*(next_x-x) + (next_y-y)*(next_y-y) AS l2 FROM points, timed
+        WHERE px BETWEEN least(x, next_x) - 64 AND greatest(x, next_x) + 64 AND py BETWEEN least(y, next_y) - 64 AND greatest(y, next_y) + 64),
+    t AS (SELECT *, CASE WHEN l2 = 0 THEN 0.0 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((px-x)*(next_x-x) + (py-y)*(next_y-y)) / l2::DOUBLE)) END AS f,
+        fmod(abs(atan2(next_y - y, next_x - x) - fmod((heading + 270.0::DOUBLE) * (2 * pi() / 360), 2 * pi())), 2 * pi()) AS raw FROM pairs),
+    a AS (SELECT *, CASE WHEN raw > pi() THEN 2 * pi() - raw ELSE raw END AS off FROM t),
+    r AS (SELECT point, way, pos, round((px-(x+f*(next_x-x)))*(px-(x+f*(next_x-x))) + (py-(y+f*(next_y-y)))*(py-(y+f*(next_y-y))), 6) AS d2, round(f, 6) AS fraction,
+        CASE WHEN NOT oneway AND off > pi() / 2 THEN pi() - off ELSE off END / pi() * 400 AS penalty FROM a)
+    SELECT point, way, pos, round(sqrt(d2), 3) AS distance, fraction FROM
+    (SELECT *, row_number() OVER (PARTITION BY point ORDER BY round(d2 + penalty, 6), way, pos) AS k FROM r WHERE d2 <= 4096.0) WHERE k = 1"""
+
+
+@query(_HEADED)
+def nearest_edge_heading(spark, d):
+    """With a heading of the point's number in degrees, a segment against it counts as 20 units further off."""
+    segments = network.edge_segments(tables.way_nodes(spark, d), tables.nodes(spark, d)).join(tables.ways(spark, d).select("way", (~F.col("oneway")).alias("both_ways")), "way")
+    asked = tables.points(spark, d).withColumn("heading", F.col("point") % 360)
+    return spatial.nearest_segment(asked, segments, 64, penalty=20.0)
+
+
 @query("SELECT z AS zoom, (px >> (15 - z)) AS tile_x, (py >> (15 - z)) AS tile_y, count(*) AS n FROM points, (SELECT unnest(range(0, 9))::INT AS z) GROUP BY 1, 2, 3")
 def tile_counts(spark, d):
     return spatial.tile_counts(tables.points(spark, d), "px", "py", 15, range(0, 9))
@@ -187,28 +209,85 @@ def merge_parallel_edges(spark, d):
     return network.merge_parallel(rows)
 
 
-_ROUNDS = 6
+#: Rounds of the SQL, which has no end of rounds to test for: more than any shortest path at the compared scales has edges.
+_ROUNDS = 20
 
 
-def _paths_sql() -> str:
-    out = ", g AS (SELECT source, target, greatest(floor(seconds * 10 + 0.5), 1)::BIGINT AS c FROM edges UNION ALL SELECT target, source, greatest(floor(seconds * 10 + 0.5), 1)::BIGINT FROM edges WHERE NOT oneway), p0 AS (SELECT DISTINCT source AS origin, source AS node, 0::BIGINT AS cost FROM edges WHERE source % 200 = 0)"
+def _paths_sql(rest: str) -> str:
+    out = ", g AS (SELECT source, target, greatest(floor(seconds * 10 + 0.5), 1)::BIGINT AS c FROM edges UNION ALL SELECT target, source, greatest(floor(seconds * 10 + 0.5), 1)::BIGINT FROM edges WHERE NOT oneway), p0 AS (SELECT DISTINCT source AS origin, source AS node, 0::BIGINT AS cost FROM edges WHERE source % 20 = 0)"
     for k in range(1, _ROUNDS + 1):
-        out += f", p{k} AS (SELECT origin, node, min(cost)::BIGINT AS cost FROM (SELECT * FROM p{k - 1} UNION ALL SELECT origin, target, cost + c FROM p{k - 1} JOIN g ON node = source) GROUP BY 1, 2)"
-    return out + f" SELECT origin, node, cost FROM p{_ROUNDS}"
+        out += f", p{k} AS MATERIALIZED (SELECT origin, node, min(cost)::BIGINT AS cost FROM (SELECT * FROM p{k - 1} UNION ALL SELECT origin, target, cost + c FROM p{k - 1} JOIN g ON node = source) GROUP BY 1, 2)"
+    return out + rest.replace("shortest", f"p{_ROUNDS}")
 
 
 def _routing_edges(spark, d) -> tuple[DataFrame, DataFrame]:
     """Edges with their cost in tenths of a second, and the graph of the directions in which they may be driven."""
-    e = routing.cut(_edges(spark, d).select("source", "target", F.floor(F.greatest(F.col("seconds") * 10 + 0.5, F.lit(1.0))).cast("long").alias("cost"), "oneway"))
+    e = cut(_edges(spark, d).select("way", "edge", "source", "target", F.floor(F.greatest(F.col("seconds") * 10 + 0.5, F.lit(1.0))).cast("long").alias("cost"), "oneway"))
     return e, e.select("source", "target", "cost").unionByName(e.where("not oneway").select(F.col("target").alias("source"), F.col("source").alias("target"), "cost"))
 
 
-@query(_paths_sql())
+@query(_paths_sql(" SELECT origin, node, cost FROM shortest"))
 def shortest_path_hops(spark, d):
-    """Least costs within _ROUNDS edges from one origin in 200, as the SQL has them; shortest_paths is without these bounds."""
+    """Shortest costs from all edge starts whose id is divisible by 20 to every node, by paths of any number of edges."""
+    e, graph = _routing_edges(spark, d)
+    origins = e.where("source % 20 = 0").select(F.col("source").alias("origin"))
+    return routing.all_distances(graph, origins).select("origin", "node", "cost")
+
+
+@query(_paths_sql(" SELECT origin, node AS target, cost, cost AS path_cost FROM shortest WHERE node % 10 = origin % 10"))
+def routes_with_paths(spark, d):
+    """Routes with their nodes: the cost of the edges along each path, looked up again, is the route's cost."""
+    e, graph = _routing_edges(spark, d)
+    origins = e.where("source % 20 = 0").select(F.col("source").alias("origin")).distinct()
+    targets = graph.select(F.col("source").alias("target")).union(graph.select("target")).distinct()
+    asked = origins.withColumn("k", F.col("origin") % 10).join(targets.withColumn("k", F.col("target") % 10), "k")
+    found = cut(routing.routes(graph, asked.select(F.xxhash64("origin", "target").alias("request"), "origin", "target")).where("cost is not null"))
+    steps = found.select("origin", F.col("target").alias("end"), F.posexplode("path").alias("k", "source"), "path")
+    steps = steps.select("origin", "end", "source", F.get("path", F.col("k") + 1).alias("target")).where("target is not null")
+    least = graph.groupBy("source", "target").agg(F.min("cost").alias("cost"))
+    walked = steps.join(least, ["source", "target"]).groupBy("origin", F.col("end").alias("target")).agg(F.sum("cost").alias("path_cost"))
+    return found.join(walked, ["origin", "target"], "left").select("origin", "target", "cost", F.coalesce("path_cost", F.lit(0)).alias("path_cost"))
+
+
+@query(
+    _paths_sql(
+        """, e AS (SELECT way, edge, source, target, oneway, greatest(floor(seconds * 10 + 0.5), 1)::BIGINT AS cost FROM edges),
+    q AS (SELECT way, edge, (way % 97) / 97.0::DOUBLE AS part FROM e WHERE way % 4 = 0 AND source % 20 = 0 AND target % 20 = 0),
+    n AS (SELECT *, row_number() OVER (ORDER BY way, edge) - 1 AS request FROM q JOIN e USING (way, edge)),
+    p AS (SELECT a.request, a.way AS s_way, a.edge AS s_edge, a.source AS s_source, a.target AS s_target, a.oneway AS s_oneway, a.cost AS s_cost, floor(a.cost * a.part)::BIGINT AS s_behind,
+        b.way AS t_way, b.edge AS t_edge, b.source AS t_source, b.target AS t_target, b.oneway AS t_oneway, b.cost AS t_cost, floor(b.cost * b.part)::BIGINT AS t_behind
+        FROM n a JOIN n b ON b.request = a.request + a.way % 3),
+    o AS (SELECT request, s_target AS origin, s_cost - s_behind AS out FROM p UNION ALL SELECT request, s_source, s_behind FROM p WHERE NOT s_oneway),
+    i AS (SELECT request, t_source AS node, t_behind AS into_ FROM p UNION ALL SELECT request, t_target, t_cost - t_behind FROM p WHERE NOT t_oneway),
+    r AS (SELECT request, out + cost + into_ AS cost FROM o JOIN i USING (request) JOIN shortest USING (origin, node)
+        UNION ALL SELECT request, CASE WHEN t_behind >= s_behind THEN t_behind - s_behind WHEN NOT s_oneway THEN s_behind - t_behind END FROM p WHERE s_way = t_way AND s_edge = t_edge)
+    SELECT p.request, min(r.cost) AS cost FROM p LEFT JOIN r USING (request) GROUP BY 1"""
+    )
+)
+def routes_between_positions(spark, d):
+    """Routes from a place on one edge to a place on another or the same one, with the parts of both edges."""
+    e, graph = _routing_edges(spark, d)
+    asked = e.where("way % 4 = 0 and source % 20 = 0 and target % 20 = 0").withColumn("part", (F.col("way") % 97) / F.lit(97.0))
+    asked = cut(numbered(asked, [F.asc("way"), F.asc("edge")], "request"))
+    side = lambda p: asked.select(*[F.col(c).alias(f"{p}{c}") for c in ("way", "edge", "source", "target", "cost", "oneway", "part")], F.col("request").alias(f"{p}request"))
+    pairs = side("s_").join(side("t_"), F.col("t_request") == F.col("s_request") + F.col("s_way") % 3).withColumnRenamed("s_request", "request")
+    ends = asked.select(F.col("source").alias("origin")).union(asked.select("target"))
+    return routing.between_positions(routing.all_distances(graph, ends), pairs)
+
+
+@query(
+    _paths_sql(
+        """, stops AS (SELECT DISTINCT origin // 200 AS trip, origin AS node FROM shortest),
+    legs AS (SELECT trip, node AS origin, lead(node) OVER (PARTITION BY trip ORDER BY node) AS node FROM stops)
+    SELECT trip, count(*) AS n_legs, sum(cost)::BIGINT AS cost, count(cost) AS n_reached FROM legs LEFT JOIN shortest USING (origin, node) WHERE legs.node IS NOT NULL GROUP BY 1"""
+    )
+)
+def multi_leg_routes(spark, d):
     e, graph = _routing_edges(spark, d)
-    origins = e.where("source % 200 = 0").select(F.col("source").alias("origin")).distinct()
-    return routing.distances(graph, origins, _ROUNDS)
+    stops = e.where("source % 20 = 0").select(F.col("source").alias("node")).distinct().withColumn("trip", F.floor(F.col("node") / 200))
+    legs = cut(routing.legs(stops.withColumn("pos", F.col("node"))))
+    costs = routing.routes(graph, legs.select(F.col("origin").alias("request"), "origin", "target")).select("origin", "target", "cost")
+    return legs.join(costs, ["origin", "target"], "left").groupBy("trip").agg(F.count("*").alias("n_legs"), F.sum("cost").alias("cost"), F.count("cost").alias("n_reached"))
 
 
 @query()
@@ -277,9 +356,10 @@ def semi_join(spark, d):
     return tables.nodes(spark, d).join(tables.way_nodes(spark, d).select("node"), "node", "left_semi")
 
 
-@query("SELECT * FROM nodes WHERE node NOT IN (SELECT node FROM way_nodes)")
+@query("SELECT * FROM nodes WHERE node NOT IN (SELECT node FROM way_nodes WHERE pos = 6)")
 def anti_join(spark, d):
-    return tables.nodes(spark, d).join(tables.way_nodes(spark, d).select("node"), "node", "left_anti")
+    """Nodes that are no way's seventh."""
+    return tables.nodes(spark, d).join(tables.way_nodes(spark, d).where("pos = 6").select("node"), "node", "left_anti")
 
 
 @query(
