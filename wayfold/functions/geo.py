@@ -51,10 +51,66 @@ def bearing(dx: Column, dy: Column) -> Column:
 
 
 def turn_class(degrees: Column) -> Column:
-    """0 straight on, then 1, 2, 3 rightwards or -1, -2, -3 leftwards from 10, 20 and 45 degrees on."""
-    whole = ((degrees + 540.0).cast("int") % 360) - 180
-    size = F.abs(whole)
-    return (F.when(size < 10, 0).when(size < 20, 1).when(size < 45, 2).otherwise(3) * F.signum(whole)).cast("int")
+    """Class of a turn by the angle of the old direction less that of the new one, y growing southwards: 0 straight on, up to
+    10 degrees; 1, 2, 3 rightwards or -1, -2, -3 leftwards, slight up to 30 degrees and sharp from 135 on."""
+    whole = (degrees + 720.0).cast("int") % 360
+    right = F.when(whole > 350, 0).when(whole > 330, 1).when(whole > 225, 2).otherwise(3)
+    left = F.when(whole > 135, -3).when(whole > 30, -2).when(whole > 10, -1).otherwise(0)
+    return F.when(whole > 180, right).otherwise(left).cast("int")
+
+
+def sub_tile(v: Column, zoom: int, precision: int) -> Column:
+    """Place within its tile of a quantised coordinate, in `precision` bits."""
+    return F.shiftright(v.bitwiseAND((1 << (BITS - zoom)) - 1), BITS - zoom - precision)
+
+
+def box_distance2(x: Column, y: Column, low_x: Column, low_y: Column, high_x: Column, high_y: Column) -> Column:
+    """Squared distance of a point to a box; 0 within it."""
+    out = lambda v, low, high: F.greatest(low - v, F.lit(0), v - high)
+    return out(x, low_x, high_x) * out(x, low_x, high_x) + out(y, low_y, high_y) * out(y, low_y, high_y)
+
+
+def units_per_metre(lat: Column) -> Column:
+    """Quantised units of a metre eastwards at a latitude."""
+    return float(1 << BITS) / 360.0 / haversine_m(lat, F.lit(0.0), lat, F.lit(1.0))
+
+
+def vincenty_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, rounds: int = 50) -> Column:
+    """Distance on the WGS84 ellipsoid by Vincenty's inverse formula, of up to `rounds` iterations; they end within 1e-12.
+    Null where they don't settle (nearly opposite points)."""
+    a, b, f = 6378137.0, 6356752.314245, 1 / 298.257223563
+    u = lambda lat: F.atan((1 - f) * F.tan(F.radians(lat)))
+    known = F.struct(
+        F.sin(u(lat1)).alias("s1"), F.cos(u(lat1)).alias("c1"), F.sin(u(lat2)).alias("s2"), F.cos(u(lat2)).alias("c2"), F.radians(lon2 - lon1).alias("long")
+    )
+
+    def parts(k: Column, lam: Column) -> tuple[Column, ...]:
+        sin_s = F.sqrt(F.pow(k["c2"] * F.sin(lam), 2) + F.pow(k["c1"] * k["s2"] - k["s1"] * k["c2"] * F.cos(lam), 2))
+        cos_s = k["s1"] * k["s2"] + k["c1"] * k["c2"] * F.cos(lam)
+        sin_a = F.when(sin_s == 0, 0.0).otherwise(k["c1"] * k["c2"] * F.sin(lam) / sin_s)
+        cos2_a = 1 - sin_a * sin_a
+        cos_m = F.when(cos2_a < 1e-15, 0.0).otherwise(cos_s - 2 * k["s1"] * k["s2"] / cos2_a)
+        return sin_s, cos_s, sin_a, cos2_a, cos_m
+
+    def step(state: Column, _: Column) -> Column:
+        k, lam = state["k"], state["lam"]
+        sin_s, cos_s, sin_a, cos2_a, cos_m = parts(k, lam)
+        c = f / 16 * cos2_a * (4 + f * (4 - 3 * cos2_a))
+        new = k["long"] + (1 - c) * f * sin_a * (F.atan2(sin_s, cos_s) + c * sin_s * (cos_m + c * cos_s * (-1 + 2 * cos_m * cos_m)))
+        settled = state["off"] <= 1e-12
+        return F.struct(k.alias("k"), F.when(settled, lam).otherwise(new).alias("lam"), F.when(settled, state["off"]).otherwise(F.abs(new - lam)).alias("off"))
+
+    def finish(state: Column) -> Column:
+        sin_s, cos_s, _, cos2_a, cos_m = parts(state["k"], state["lam"])
+        u2 = cos2_a * (a * a - b * b) / (b * b)
+        big_a = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
+        big_b = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
+        inner = cos_s * (-1 + 2 * cos_m * cos_m) - big_b / 6 * cos_m * (-3 + 4 * sin_s * sin_s) * (-3 + 4 * cos_m * cos_m)
+        off = big_b * sin_s * (cos_m + big_b / 4 * inner)
+        return F.when(state["off"] <= 1e-9, b * big_a * (F.atan2(sin_s, cos_s) - off))
+
+    start = F.struct(known.alias("k"), known["long"].alias("lam"), F.lit(1.0).alias("off"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, finish)
 
 
 def segment_fraction(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -96,6 +152,19 @@ def quadtile(x: Column, y: Column) -> Column:
     return F.shiftleft(spread_bits(x.cast("long")), 1).bitwiseOR(spread_bits(y.cast("long")))
 
 
+def gathered_bits(v: Column) -> Column:
+    """Every second bit of a quadtile, from the lowest on: the inverse of spread_bits."""
+    v = v.bitwiseAND(F.lit(0x55555555).cast("long"))
+    for shift, mask in ((1, 0x33333333), (2, 0x0F0F0F0F), (4, 0x00FF00FF), (8, 0x0000FFFF)):
+        v = F.shiftright(v, shift).bitwiseOR(v).bitwiseAND(F.lit(mask).cast("long"))
+    return v
+
+
+def quadtile_xy(q: Column) -> tuple[Column, Column]:
+    """The two coordinates of a quadtile."""
+    return gathered_bits(F.shiftright(q, 1)), gathered_bits(q)
+
+
 def distance_text(metres: Column) -> Column:
     """Metres up to 100, tens of metres up to 1 km, tenths of km up to 10 km, then whole km."""
     whole = metres.cast("long")

@@ -119,6 +119,15 @@ def restricted(turn_rows: DataFrame, restrictions: DataFrame) -> DataFrame:
     return turn_rows.join(rules, ["node", "from_way", "to_way"], "left").withColumn("forbidden", F.coalesce("forbidden", F.lit(False)))
 
 
+def edge_keys(edge_rows: DataFrame) -> DataFrame:
+    """source, target, way, edge, ordinal (among parallel edges), branching (another way leaves at the target)."""
+    out = edge_ends(edge_rows).groupBy("node").agg(F.sum(F.col("forward").cast("long")).alias("out"))
+    ordinal = F.row_number().over(W.partitionBy("source", "target").orderBy("way", "edge")) - 1
+    back = F.when(F.col("oneway"), 0).otherwise(1)
+    rows = edge_rows.withColumn("ordinal", ordinal).join(out, F.col("target") == F.col("node"))
+    return rows.select("source", "target", "way", "edge", "ordinal", (F.col("out") - back > 1).alias("branching"))
+
+
 def merge_parallel(edge_rows: DataFrame) -> DataFrame:
     """Edges (source, target, distance, forward, backward) with equal ends and distance become one, directions or-ed."""
     low, high = F.least("source", "target"), F.greatest("source", "target")

@@ -376,8 +376,8 @@ def projections(spark, d):
 
 
 @query(
-    """, t AS (SELECT p_partkey AS node, ((p_partkey * 37 + p_size) % 720 - 360) AS deg, ((trunc(((p_partkey * 37 + p_size) % 720 - 360) + 540.0)::BIGINT % 360) - 180) AS w FROM part)
-    SELECT node, deg, (sign(w) * CASE WHEN abs(w) < 10 THEN 0 WHEN abs(w) < 20 THEN 1 WHEN abs(w) < 45 THEN 2 ELSE 3 END)::INT AS turn FROM t"""
+    """, t AS (SELECT p_partkey AS node, ((p_partkey * 37 + p_size) % 720 - 360) AS deg, (((p_partkey * 37 + p_size) % 720 - 360) + 720) % 360 AS w FROM part)
+    SELECT node, deg, (CASE WHEN w > 350 OR w <= 10 THEN 0 WHEN w > 330 THEN 1 WHEN w > 225 THEN 2 WHEN w > 180 THEN 3 WHEN w > 135 THEN -3 WHEN w > 30 THEN -2 ELSE -1 END)::INT AS turn FROM t"""
 )
 def turn_classes(spark, d):
     deg = (F.col("p_partkey") * 37 + F.col("p_size")) % 720 - 360
