@@ -7,6 +7,8 @@ import configparser
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.sources.pbf import osm_pbf
+
 _TAG = "tag array<struct<_k: string, _v: string>>"
 _SCHEMAS = {
     "node": f"_id long, _lat double, _lon double, {_TAG}",
@@ -56,8 +58,22 @@ def profile(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(rows, "class string, position int, max_speed double, average double, penalty double")
 
 
+def osm(spark: SparkSession, path: str, entity: str, keys: list[str] | None = None) -> DataFrame:
+    """Nodes, ways or relations of a map extract, by the suffix of its name: .osm, .osm.bz2 or .pbf."""
+    if path.endswith(".pbf"):
+        return osm_pbf(spark, path.removeprefix("file://"), entity, keys)
+    if path.endswith((".osm", ".osm.bz2")):
+        return osm_xml(spark, path, entity, keys)
+    raise ValueError(f"no reader for {path}")
+
+
 def write_gpx(track: DataFrame, path: str) -> None:
-    """Track points (segment, pos, lat, lon, ele, time) as text files of GPX points, one line each, in order."""
+    """A track (track, segment, pos, lat, lon, ele, time) as GPX: a file of a row a track, in any number of files. A track's
+    points meet in one task, as they do in the file."""
     ele = F.when(F.col("ele").isNotNull() & ~F.isnan("ele"), F.format_string("<ele>%s</ele>", "ele")).otherwise("")
-    line = F.concat(F.format_string('<trkpt lat="%s" lon="%s">', "lat", "lon"), ele, F.format_string("<time>%s</time></trkpt>", F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss'Z'")))
-    track.orderBy("segment", "pos").select(line.alias("value")).write.text(path)
+    point = F.concat(F.format_string('<trkpt lat="%s" lon="%s">', "lat", "lon"), ele, F.format_string("<time>%s</time></trkpt>", F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss'Z'")))
+    rows = track.select("track", "segment", "pos", point.alias("point")).groupBy("track", "segment").agg(F.array_sort(F.collect_list(F.struct("pos", "point"))).alias("points"))
+    segment = F.concat(F.lit("<trkseg>"), F.array_join(F.transform("points", lambda p: p["point"]), ""), F.lit("</trkseg>"))
+    tracks = rows.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("segment", segment.alias("text")))).alias("segments"))
+    text = F.concat(F.lit('<gpx version="1.1"><trk>'), F.array_join(F.transform("segments", lambda s: s["text"]), ""), F.lit("</trk></gpx>"))
+    tracks.select(text.alias("value")).write.text(path)

@@ -47,5 +47,43 @@ def stream_segments(fixes: DataFrame, gap: str = "5 minutes", late: str = "10 mi
 def latest(fixes: DataFrame) -> DataFrame:
     """The last known value of each attribute by device: fields that a fix lacks keep their last value."""
     columns = [c for c in fixes.columns if c not in ("device", "ts")]
-    known = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts"))).alias(c) for c in columns]
+    # Of equal times the greater value counts, so that the result doesn't depend on the order of rows.
+    known = [F.max(F.when(F.col(c).isNotNull(), F.struct("ts", c)))[c].alias(c) for c in columns]
     return fixes.groupBy("device").agg(F.max("ts").alias("ts"), *known)
+
+
+STATE = "device string, ts timestamp, lat double, lon double, alt double, track double, speed double, accuracy double"
+
+
+def stream_latest(fixes: DataFrame) -> DataFrame:
+    """The last known values of each device as a stream, in append mode: each batch of fixes gives one row with the values
+    after it. Fields that a fix lacks keep their value; a fix older than the state only fills what is still null."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    names = [part.split()[0] for part in STATE.split(", ")][1:]
+
+    def update(key, batches, state):
+        held = dict(zip(names, state.get)) if state.exists else dict.fromkeys(names)
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        for r in rows.to_dict("records"):
+            newer = held["ts"] is None or r["ts"] >= held["ts"]
+            for c in names:
+                if not pd.isna(r[c]) and (newer or held[c] is None):
+                    held[c] = r[c]
+        state.update(tuple(held[c] for c in names))
+        yield pd.DataFrame([{"device": key[0], **held}])
+
+    own = ", ".join(STATE.split(", ")[1:])
+    asked = fixes.select("device", *names)
+    return asked.groupBy("device").applyInPandasWithState(update, STATE, own, "append", GroupStateTimeout.NoTimeout)
+
+
+def follow(positions: DataFrame, answer, path: str, checkpoint: str, seconds: int = 300):
+    """Run a stream of positions: each batch goes through `answer`, a function of static frames such as nearest edges or
+    routes, and its rows are appended to the log at path. A batch that is run again replaces its own part of the log."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        answer(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return positions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds")
