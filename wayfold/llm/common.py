@@ -113,9 +113,10 @@ def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], total: int,
     own = [F.col(c) for c in rows.columns]
     few = F.broadcast(table.where(hot).select(*mine, F.struct(*values).alias("__hot")))
     marked = rows.join(few, [rows[k] == few[f"__{k}"] for k in keys], "left").select(*own, "__hot")
-    # Rows of hot keys are dealt by a hash of their own, which meets nothing.
-    deal = F.when(F.col("__hot").isNotNull(), F.xxhash64(*own).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long"))
-    many = table.where(~hot).select(*keys, F.struct(*values).alias("__cold"), F.lit(0).cast("long").alias("__deal"))
+    # Rows of hot keys are dealt by a hash of the whole row, which meets nothing. The others' is no constant, since Spark
+    # would take that out of the join's keys.
+    deal = F.when(F.col("__hot").isNotNull(), F.xxhash64(*own, F.lit("hot"))).otherwise(F.xxhash64(*keys))
+    many = table.where(~hot).select(*keys, F.struct(*values).alias("__cold"), F.xxhash64(*keys).alias("__deal"))
     joined = marked.withColumn("__deal", deal).join(many, [*keys, "__deal"], "left")
     found = F.coalesce("__hot", "__cold")
     joined = joined if how == "left" else joined.where(found.isNotNull())
