@@ -390,12 +390,13 @@ def join(documents: DataFrame, like: float = LIKE, recall: float = RECALL) -> Da
     parts = components(verified.where("whole = 0 and set_id <> parent").select(F.col("set_id").alias("a"), F.col("parent").alias("b")))
     roots = whole.unionByName(parts.select(F.col("node").alias("set_id"), F.col("root").alias("parent")))
     table = reps.join(counts, "set_id", "left").join(roots, "set_id", "left").select(
-        "set_id", "rep", F.coalesce("parent", "set_id").alias("parent"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "set_id", "rep", F.coalesce("parent", "set_id").alias("parent"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.col("copies").alias("n"),
     )
     table = common.stash(table, "classes")
     names = table.groupBy("parent").agg(F.min("rep").alias("class_id"))
-    named = table.join(names, "parent").select("set_id", "class_id", "n_links")
-    return drawn.select("doc_id", "set_id").join(named, "set_id", "left").select(
+    named = common.stash(table.join(names, "parent").select("set_id", "class_id", "n_links", "n"), "named")
+    return common.join_counted(drawn.select("doc_id", "set_id"), named, ["set_id"], drawn.count(), "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
