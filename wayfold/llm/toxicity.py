@@ -155,7 +155,7 @@ def weigh(matcher, text: str) -> tuple[float, int, int]:
                 starts[at] = max(weight, starts.get(at, weight))
     if free:
         starts = {at: w for at, w in starts.items() if not any(a <= at < b for a, b in free)}
-    return sum(starts.values()), len(starts), folded.count(" ") - 1
+    return sum(starts.values()), len(starts), folded.count(" ") - 1 if folded.strip() else 0
 
 
 def features(matcher, text: str) -> list[float]:
