@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import balance, common, imatch, licences, line_runs, mcd, packing, similar, token_store, tokens, toxicity, url_lists
+from wayfold.llm import balance, chat, common, imatch, licences, line_runs, lloyd, mcd, negatives, packing, similar, token_store, tokens, toxicity, url_lists
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,10 +54,27 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_index(stored)
 
 
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.codes_of(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = chat.with_adverse(spark, _table(spark, sf_dir, "conversations"))
+    return chat.digests(common.stash(chat.format_chats(chats), "chats"))
+
+
 def queries() -> dict:
     found = [op1_imatch, op2_mcd_outliers, op3_entropy_balance, op4_licence_digests, op5_url_lists, op6_best_two_fit, op7_toxicity, op8_line_runs, op9_chosen_path, op10_orc_tokens]
+    found += [op11_delta_lloyd, op12_norm_buckets, op13_chat_format]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licence_digests": licences.oracle_sql(), "op5_url_lists": url_lists.ORACLE_SQL, "op8_line_runs": line_runs.ORACLE_SQL}
+    return {
+        "op4_licence_digests": licences.oracle_sql(), "op5_url_lists": url_lists.ORACLE_SQL, "op8_line_runs": line_runs.ORACLE_SQL,
+        "op11_delta_lloyd": lloyd.oracle_sql(), "op12_norm_buckets": negatives.ORACLE_SQL, "op13_chat_format": chat.ORACLE_SQL,
+    }
