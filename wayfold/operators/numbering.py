@@ -29,7 +29,19 @@ def cut(df: DataFrame) -> DataFrame:
         folder = f"file://{_local[0]}"
     path = f"{folder.rstrip('/')}/wayfold-{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._cut = path
+    return found
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables that cut has written, when nothing unwritten reads them any more."""
+    for df in tables:
+        path = getattr(df, "_cut", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def numbered(df: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:

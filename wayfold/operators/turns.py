@@ -85,8 +85,3 @@ def turn_averages(costs: DataFrame) -> DataFrame:
     return costs.groupBy("node").agg(
         F.count("*").alias("turns"), mean(left, "left"), mean(right, "right"), mean(~(left | right), "straight"), F.round(F.max("seconds"), 4).alias("most")
     )
-
-
-def u_turns(ends: DataFrame, cost: float) -> DataFrame:
-    """node, way, edge, side of the ends at which a vehicle may turn round on its own two-way edge, and what that costs."""
-    return ends.where("forward and backward").select("node", "way", "edge", "side", F.lit(cost).alias("seconds"))
