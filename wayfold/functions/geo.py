@@ -140,22 +140,27 @@ def in_polygon(x: Column, y: Column, ring: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(False), crosses)
 
 
+# The masks that leave 16, 8, 4, 2 and 1 bits together, each group followed by as many zero bits.
+_GROUPS = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
+
+
 def spread_bits(v: Column) -> Column:
-    """The low 16 bits of v, each followed by a zero bit."""
-    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+    """The low 31 bits of v, each followed by a zero bit."""
+    v = v.bitwiseAND(F.lit(0x7FFFFFFF).cast("long"))
+    for shift, mask in _GROUPS:
         v = F.shiftleft(v, shift).bitwiseOR(v).bitwiseAND(F.lit(mask).cast("long"))
     return v
 
 
 def quadtile(x: Column, y: Column) -> Column:
-    """Interleaved bits of two 16-bit coordinates, those of x first."""
+    """Interleaved bits of two coordinates of up to 31 bits, those of x first."""
     return F.shiftleft(spread_bits(x.cast("long")), 1).bitwiseOR(spread_bits(y.cast("long")))
 
 
 def gathered_bits(v: Column) -> Column:
     """Every second bit of a quadtile, from the lowest on: the inverse of spread_bits."""
-    v = v.bitwiseAND(F.lit(0x55555555).cast("long"))
-    for shift, mask in ((1, 0x33333333), (2, 0x0F0F0F0F), (4, 0x00FF00FF), (8, 0x0000FFFF)):
+    v = v.bitwiseAND(F.lit(0x5555555555555555).cast("long"))
+    for (shift, _), mask in zip(reversed(_GROUPS), [m for _, m in reversed(_GROUPS[:-1])] + [0xFFFFFFFF]):
         v = F.shiftright(v, shift).bitwiseOR(v).bitwiseAND(F.lit(mask).cast("long"))
     return v
 

@@ -68,9 +68,60 @@ def simplified(line: Column, zoom: Column) -> Column:
     return F.when((zoom < 10) & (F.size(line) > 2), F.array(F.get(line, 0), F.element_at(line, -1))).otherwise(line)
 
 
-def small_enough(tiles: Column, most: int = 10_000) -> Column:
-    """Whether an area covers few enough tiles to be stored."""
-    return tiles <= most
+def area_tiles(rings: DataFrame, bits: int, zoom: int, most: int = 10_000) -> DataFrame:
+    """ring_id, tile_x, tile_y of the tiles over the bounding box of each ring (an array of x, y); an area that covers more
+    than `most` tiles, or has no points, has none."""
+    low = lambda v: F.shiftright(F.array_min(F.transform("ring", lambda p: p[v])), bits - zoom).cast("long").alias(f"low_{v}")
+    high = lambda v: F.shiftright(F.array_max(F.transform("ring", lambda p: p[v])), bits - zoom).cast("long").alias(f"high_{v}")
+    boxes = rings.select("ring_id", low("x"), low("y"), high("x"), high("y"))
+    small = boxes.where("(high_x - low_x + 1) * (high_y - low_y + 1) <= %d" % most)
+    wide = small.select("ring_id", F.explode(F.sequence("low_x", "high_x")).alias("tile_x"), "low_y", "high_y")
+    return wide.select("ring_id", "tile_x", F.explode(F.sequence("low_y", "high_y")).alias("tile_y"))
+
+
+def cut_segments(segments: DataFrame, bits: int, zoom: int) -> DataFrame:
+    """segments (way, pos, x, y, next_x, next_y in coordinates of `bits` bits) cut where they cross tile borders: way, pos,
+    sub, tile_x, tile_y, from_x, from_y, to_x, to_y (doubles), in the order along the segment.
+
+    Crossings are places t between 0 and 1 along the segment, those with columns and with rows of tiles merged. A part belongs to
+    the tile of its middle, so one along a border to the tile right of it or below. A segment of no length is one part.
+    """
+    size, (dx, dy) = float(1 << (bits - zoom)), (F.col("next_x") - F.col("x"), F.col("next_y") - F.col("y"))
+
+    def crossings(v: str, d: Column) -> Column:
+        tile = lambda c: F.floor(F.col(c) / size)
+        first, last = F.least(tile(v), tile(f"next_{v}")) + 1, F.greatest(tile(v), tile(f"next_{v}"))
+        borders = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(borders, lambda b: (b * size - F.col(v)) / d.cast("double"))
+
+    ends = F.array(F.lit(0.0), F.lit(1.0))
+    t = F.array_sort(F.array_distinct(F.concat(ends, crossings("x", dx), crossings("y", dy))))
+    parts = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.struct(i.alias("sub"), F.get("t", i - 1).alias("t0"), F.get("t", i).alias("t1")))
+    rows = segments.withColumn("t", t).select("way", "pos", "x", "y", dx.alias("dx"), dy.alias("dy"), F.explode(parts).alias("p")).select("*", "p.*")
+    at = lambda v, t: F.col(v) + F.col(t) * F.col(f"d{v}")
+    tile = lambda v: F.floor((F.col(v) + (F.col("t0") + F.col("t1")) / 2.0 * F.col(f"d{v}")) / size).alias(f"tile_{v}")
+    return rows.select(
+        "way", "pos", "sub", tile("x"), tile("y"), at("x", "t0").alias("from_x"), at("y", "t0").alias("from_y"), at("x", "t1").alias("to_x"), at("y", "t1").alias("to_y")
+    )
+
+
+def cut_lines(segments: DataFrame, bits: int, zoom: int) -> DataFrame:
+    """way, piece, tile_x, tile_y, line of the ways cut at tile borders: a piece is what a way has in a tile until it leaves
+    it, numbered along the way from 0; its line (an array of x, y) begins where that of the piece before ends.
+
+    A gap between segments begins a new piece too. Pieces of a way are numbered in one task, its length in nodes.
+    """
+    along = W.partitionBy("way").orderBy("pos", "sub")
+    before = lambda c: F.lag(c).over(along)
+    same = (before("tile_x") == F.col("tile_x")) & (before("tile_y") == F.col("tile_y")) & (before("to_x") == F.col("from_x")) & (before("to_y") == F.col("from_y"))
+    parts = cut_segments(segments, bits, zoom).withColumn("new", (~F.coalesce(same, F.lit(False))).cast("int"))
+    parts = parts.withColumn("piece", F.sum("new").over(along.rowsBetween(W.unboundedPreceding, 0)) - 1)
+    point = lambda p: F.struct(F.col(f"{p}_x").alias("x"), F.col(f"{p}_y").alias("y"))
+    pieces = parts.groupBy("way", "piece").agg(
+        F.first("tile_x").alias("tile_x"), F.first("tile_y").alias("tile_y"), F.min_by(point("from"), F.struct("pos", "sub")).alias("start"),
+        F.sort_array(F.collect_list(F.struct("pos", "sub", point("to").alias("to")))).alias("rest"),
+    )
+    return pieces.select("way", "piece", "tile_x", "tile_y", F.concat(F.array("start"), F.col("rest.to")).alias("line"))
 
 
 def quadtree(points: DataFrame, bits: int, depth: int, least: int) -> DataFrame:
