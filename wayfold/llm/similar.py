@@ -113,18 +113,20 @@ def set_id(found: np.ndarray) -> int | None:
     return _signed(xxhash.xxh3_64_intdigest(found.tobytes())) if len(found) else None
 
 
-def sketches(documents: DataFrame) -> DataFrame:
-    """doc_id, set_id (null for a text without words), sig of every row."""
-    out = schema(doc_id=LONG, set_id=LONG, sig=T.BinaryType())
+def sketches(documents: DataFrame, text_ids: bool = False) -> DataFrame:
+    """doc_id, set_id (null for a text without words), sig of every row; with text_ids also text_id, a hash of its text."""
+    kept = ["doc_id", "text_id"] if text_ids else ["doc_id"]
+    out = schema(**dict.fromkeys(kept, LONG), set_id=LONG, sig=T.BinaryType())
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t or "") for t in b.column("text").to_pylist()]
             ids = pa.array([set_id(s) for s in sets], pa.int64())
             sigs = pa.array([signature(s) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, sigs], names=out.names)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), ids, sigs], names=out.names)
 
-    return common.only(documents, "doc_id", "text").mapInArrow(sketch, out)
+    rows = common.only(documents, "doc_id", "text")
+    return (rows.withColumn("text_id", F.xxhash64("text")) if text_ids else rows).mapInArrow(sketch, out)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -350,10 +352,19 @@ def join(documents: DataFrame, like: float = LIKE, recall: float = RECALL) -> Da
 
     Null and wordless texts have no links and are classes of their own. Repeated rows count as documents. Null doc_ids
     are kept. Links between different texts are exact among the candidates, which hold a pair of likeness `like` with
-    odds of `recall` or more; none is dropped for the size of its group.
+    odds of `recall` or more; none is dropped for the size of its group. An empty table gives no rows.
     """
+    drawn, named = _classes(documents, like, recall)
+    return common.join_counted(drawn.select("doc_id", "set_id"), named.select("set_id", "class_id", "n_links", "n"), ["set_id"], drawn.count(), "left").select(
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    )
+
+
+def _classes(documents: DataFrame, like: float, recall: float, text_ids: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and for each set of shingles its class: set_id, parent (a set, one for each class), class_id,
+    n_links, n (rows with the set)."""
     common.batch_rows(documents.sparkSession, 500)
-    drawn = common.stash(sketches(documents), "sketches")
+    drawn = common.stash(sketches(documents, text_ids), "sketches")
     reps = drawn.where("set_id is not null").groupBy("set_id").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("sig").alias("sig")
     )
@@ -395,20 +406,24 @@ def join(documents: DataFrame, like: float = LIKE, recall: float = RECALL) -> Da
     )
     table = common.stash(table, "classes")
     names = table.groupBy("parent").agg(F.min("rep").alias("class_id"))
-    named = common.stash(table.join(names, "parent").select("set_id", "class_id", "n_links", "n"), "named")
-    return common.join_counted(drawn.select("doc_id", "set_id"), named, ["set_id"], drawn.count(), "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    return drawn, common.stash(table.join(names, "parent").select("set_id", "parent", "class_id", "n_links", "n"), "named")
 
 
-def keep_one(documents: DataFrame, like: float = LIKE) -> DataFrame:
-    """documents without near copies: of each class the row of the least doc_id stays.
+def keep_one(documents: DataFrame, like: float = LIKE, recall: float = RECALL) -> DataFrame:
+    """documents without near copies: of each class of links one row stays, that of the least doc_id, null ones last, and
+    of several with that id the one whose text hashes least.
 
-    Rows with equal doc_id and text are one. Rows of one doc_id with different texts stay if it names their class; rows
-    without a doc_id stay, one of each text. Extra columns are kept; an empty table gives no rows.
+    So a row goes though its doc_id names the class, if another text of that id stays for it. Null and wordless texts are in no
+    class: all stay. Rows with equal doc_id and text are one. Extra columns are kept; an empty table gives no rows.
     """
-    classes = common.stash(join(documents, like).select("doc_id", "class_id"), "classes")
-    ids = classes.where("doc_id is null or doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = documents.join(ids, documents["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    repeated = classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    drawn, named = _classes(documents, like, recall, text_ids=True)
+    rows = common.join_counted(drawn.select("doc_id", "text_id", "set_id"), named.select("set_id", "parent", "n"), ["set_id"], drawn.count(), "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_id"))
+    of_class = rows.where("parent is not null").groupBy("parent").agg(first.alias("f")).select("f.doc_id", "f.text_id")
+    kept = of_class.unionByName(rows.where("parent is null").select("doc_id", "text_id")).distinct()
+    kept = common.stash(kept.select(F.col("doc_id").alias("__id"), F.col("text_id").alias("__text_id")), "kept")
+    same = documents["doc_id"].eqNullSafe(kept["__id"]) & (F.xxhash64(documents["text"]) == kept["__text_id"])
+    left = documents.join(kept, same, "left_semi")
+    # Equal rows are looked for where an id is repeated, by a count without the texts.
+    repeated = drawn.groupBy("doc_id", "text_id").agg(F.count("*").alias("n")).where("n > 1")
+    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])
