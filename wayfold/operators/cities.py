@@ -22,11 +22,12 @@ def outlined(places: DataFrame, outlines: DataFrame) -> DataFrame:
 def in_city(nodes: DataFrame, places: DataFrame, outlines: DataFrame, radii: dict[str, float] | None = None) -> DataFrame:
     """node, place, inside of the nodes (node, x, y) in a place (place, name, kind, x, y): the last by number of those whose
     outline holds it; else the nearest of the places without an outline, within the radius of its kind, then the first.
-    Suburbs without an outline hold nothing."""
+    Suburbs without an outline hold nothing. Where places have a `scale`, radii are times that."""
     points = nodes.select(F.col("node").alias("point"), F.col("x").alias("px"), F.col("y").alias("py"))
     rings = outlined(places, outlines)
     inside = spatial.containing(points, rings.withColumnRenamed("place", "ring_id")).groupBy("point").agg(F.max("ring_id").alias("ring_id"))
     radius = F.try_element_at(F.create_map(*[F.lit(x) for kv in (radii or RADII).items() for x in kv]), "kind")
+    radius = radius * F.col("scale") if "scale" in places.columns else radius
     open_ = places.join(rings.select("place"), "place", "left_anti").withColumn("radius", radius).where("radius is not null")
     near = spatial.nearest_place(points, open_.select("place", "x", "y", "radius"))
     both = inside.join(near, "point", "full_outer")

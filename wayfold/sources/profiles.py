@@ -11,7 +11,9 @@ from wayfold.operators.tags import Profile, access_chain
 
 @dataclass
 class SpeedClass:
-    """A value of `highway`: limits in km/h, average in per cent of the limit, seconds for turns into it."""
+    """A value of `highway`: limits in km/h, average in per cent of the limit, seconds for turns into
+    it, and whether turns out of it give way to classes of a higher priority. city_speed is the limit within places where no
+    limit is tagged."""
 
     value: str
     priority: int = 0
@@ -21,6 +23,9 @@ class SpeedClass:
     pedestrian: bool = False
     left_penalty: float = 0.0
     right_penalty: float = 0.0
+    yields_left: bool = False
+    yields_right: bool = False
+    yields_straight: bool = False
 
 
 def access_tree(text: str) -> list[tuple[str, str]]:
@@ -44,7 +49,7 @@ def load(text: str, tree: list[tuple[str, str]]) -> tuple[Profile, list[SpeedCla
         kind, _, rest = name.partition(" ")
         s = parsed[name]
         if kind == "class":
-            speeds.append(SpeedClass(rest, s.getint("priority", 0), s.getfloat("max_speed", 50), s.getfloat("city_speed", 50), s.getfloat("average", 80), s.getboolean("pedestrian", False), s.getfloat("left_penalty", 0), s.getfloat("right_penalty", 0)))
+            speeds.append(SpeedClass(rest, s.getint("priority", 0), s.getfloat("max_speed", 50), s.getfloat("city_speed", 50), s.getfloat("average", 80), s.getboolean("pedestrian", False), s.getfloat("left_penalty", 0), s.getfloat("right_penalty", 0), *(s.getboolean(f"yields_{k}", False) for k in ("left", "right", "straight"))))
         elif kind in modifiers:
             modifiers[kind].append((s["key"], s.get("value"), s["kind"], s.getint("amount", 0)))
     profile = Profile([s.value for s in speeds], access_chain(tree, own.get("access", "motorcar")), own.get("languages", "name").split(","), modifiers["way"], modifiers["node"])
