@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geo
 from wayfold.operators import network, routing
-from wayfold.plans import names, osm, places_near, road, streets  # noqa: F401  all queries are in one registry
+from wayfold.plans import names, osm, places_near, road, stores, streets  # noqa: F401  all queries are in one registry
 from wayfold.sources import readers
 from wayfold.streaming import gps
 

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -15,10 +15,9 @@ from pyspark.sql import Window as W
 _local: list[str] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage: df is written once, as a table in the shared folder of spark.checkpoint.dir, and read back. Where that is
-    unset, as in tests, in a temporary folder if all runs in one process; on a cluster that raises."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir. Where that is unset, as in tests, in a temporary folder if all
+    runs in one process; on a cluster that raises."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
@@ -27,9 +26,14 @@ def cut(df: DataFrame) -> DataFrame:
             _local.append(tempfile.mkdtemp(prefix="wayfold-"))
             atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
         folder = f"file://{_local[0]}"
-    path = f"{folder.rstrip('/')}/wayfold-{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/wayfold-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage: df is written once, as a table in the shared folder, and read back."""
+    path = shared_path(df.sparkSession, "cut")
     df.write.option("compression", "zstd").parquet(path)
-    found = spark.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
     found._cut = path
     return found
 

@@ -24,17 +24,23 @@ def five_nearest_nodes(spark, d):
     return nearest.k_nearest(tables.points(spark, d), tables.nodes(spark, d), 5, 15, ident="node")
 
 
-@query(
-    """, b AS (SELECT way, pos, x, y, next_x - x AS dx, next_y - y AS dy, next_x, next_y FROM seg),
+def pieces_sql(size: int) -> str:
+    """The ways cut at the borders of tiles of a size, as p (way, piece, pos, sub, tile_x, tile_y, ..)."""
+    return """, b AS (SELECT way, pos, x, y, next_x - x AS dx, next_y - y AS dy, next_x, next_y FROM seg),
     c AS (SELECT way, pos, x, y, dx, dy, list_sort(list_distinct(list_concat([0.0::DOUBLE, 1.0::DOUBLE], list_concat(
-        list_transform(range(least(x // 8192, next_x // 8192) + 1, greatest(x // 8192, next_x // 8192) + 1), lambda i: (i * 8192.0::DOUBLE - x) / dx::DOUBLE),
-        list_transform(range(least(y // 8192, next_y // 8192) + 1, greatest(y // 8192, next_y // 8192) + 1), lambda i: (i * 8192.0::DOUBLE - y) / dy::DOUBLE))))) AS t FROM b),
+        list_transform(range(least(x // {size}, next_x // {size}) + 1, greatest(x // {size}, next_x // {size}) + 1), lambda i: (i * {size}.0::DOUBLE - x) / dx::DOUBLE),
+        list_transform(range(least(y // {size}, next_y // {size}) + 1, greatest(y // {size}, next_y // {size}) + 1), lambda i: (i * {size}.0::DOUBLE - y) / dy::DOUBLE))))) AS t FROM b),
     u AS (SELECT *, unnest(range(1, len(t))) AS sub FROM c),
-    s AS (SELECT way, pos, sub, floor((x + (t[sub] + t[sub + 1]) / 2.0 * dx) / 8192.0)::BIGINT AS tile_x, floor((y + (t[sub] + t[sub + 1]) / 2.0 * dy) / 8192.0)::BIGINT AS tile_y,
+    s AS (SELECT way, pos, sub, floor((x + (t[sub] + t[sub + 1]) / 2.0 * dx) / {size}.0)::BIGINT AS tile_x, floor((y + (t[sub] + t[sub + 1]) / 2.0 * dy) / {size}.0)::BIGINT AS tile_y,
         x + t[sub] * dx AS from_x, y + t[sub] * dy AS from_y, x + t[sub + 1] * dx AS to_x, y + t[sub + 1] * dy AS to_y FROM u),
     n AS (SELECT *, CASE WHEN tile_x = lag(tile_x) OVER w AND tile_y = lag(tile_y) OVER w AND from_x = lag(to_x) OVER w AND from_y = lag(to_y) OVER w THEN 0 ELSE 1 END AS new
         FROM s WINDOW w AS (PARTITION BY way ORDER BY pos, sub)),
-    p AS (SELECT *, (sum(new) OVER (PARTITION BY way ORDER BY pos, sub))::BIGINT - 1 AS piece FROM n)
+    p AS (SELECT *, (sum(new) OVER (PARTITION BY way ORDER BY pos, sub))::BIGINT - 1 AS piece FROM n)""".replace("{size}", str(size))
+
+
+@query(
+    pieces_sql(8192)
+    + """
     SELECT way, piece, min(tile_x) AS tile_x, min(tile_y) AS tile_y, count(*) + 1 AS n_points, round(arg_min(from_x, pos * 1000 + sub), 4) AS first_x, round(arg_min(from_y, pos * 1000 + sub), 4) AS first_y,
         round(arg_max(to_x, pos * 1000 + sub), 4) AS last_x, round(arg_max(to_y, pos * 1000 + sub), 4) AS last_y FROM p GROUP BY 1, 2"""
 )

@@ -154,13 +154,14 @@ def place_radius_join(spark, d):
     return spatial.nearest_place(tables.points(spark, d), tables.places(spark, d))
 
 
-@query(
-    """, pairs AS (SELECT point, way, pos, px, py, x, y, next_x, next_y, (next_x-x)*(next_x-x) + (next_y-y)*(next_y-y) AS l2 FROM points, seg
+NEAREST = """, pairs AS (SELECT point, way, pos, px, py, x, y, next_x, next_y, (next_x-x)*(next_x-x) + (next_y-y)*(next_y-y) AS l2 FROM points, seg
         WHERE px BETWEEN least(x, next_x) - 512 AND greatest(x, next_x) + 512 AND py BETWEEN least(y, next_y) - 512 AND greatest(y, next_y) + 512),
     t AS (SELECT *, CASE WHEN l2 = 0 THEN 0.0 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((px-x)*(next_x-x) + (py-y)*(next_y-y)) / l2::DOUBLE)) END AS f FROM pairs),
     r AS (SELECT point, way, pos, round((px-(x+f*(next_x-x)))*(px-(x+f*(next_x-x))) + (py-(y+f*(next_y-y)))*(py-(y+f*(next_y-y))), 6) AS d2, round(f, 6) AS fraction FROM t)
     SELECT point, way, pos, round(sqrt(d2), 3) AS distance, fraction FROM (SELECT *, row_number() OVER (PARTITION BY point ORDER BY d2, way, pos) AS k FROM r WHERE d2 <= 262144.0) WHERE k = 1"""
-)
+
+
+@query(NEAREST)
 def nearest_edge(spark, d):
     segments = network.edge_segments(tables.way_nodes(spark, d), tables.nodes(spark, d))
     return spatial.nearest_segment(tables.points(spark, d), segments, 512)
