@@ -92,3 +92,11 @@ def test_quadtiles_of_thirty_bits(spark):
     found = spark.createDataFrame(rows, "x long, y long").withColumn("q", geo.quadtile(F.col("x"), F.col("y"))).select("q", x.alias("x"), y.alias("y")).collect()
     assert [(r.x, r.y) for r in found] == rows
     assert [r.q for r in found] == [sum((x >> i & 1) << 2 * i + 1 | (y >> i & 1) << 2 * i for i in range(31)) for x, y in rows]
+
+
+def test_a_line_that_starts_on_a_border_has_no_empty_piece(spark):
+    rows = [(1, 0, 16, 16, 10, 10), (2, 0, 16, 16, 20, 20), (3, 0, 16, 5, 3, 5), (4, 0, 16, 16, 3, 40)]
+    segments = spark.createDataFrame(rows, "way long, pos long, x long, y long, next_x long, next_y long")
+    parts = tiles.cut_segments(segments, 6, 2).collect()
+    assert all((r.from_x, r.from_y) != (r.to_x, r.to_y) for r in parts)
+    assert sorted((r.way, r.tile_x, r.tile_y) for r in parts) == [(1, 0, 0), (2, 1, 1), (3, 0, 0), (4, 0, 1), (4, 0, 2)]

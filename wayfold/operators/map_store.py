@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.functions import geo
+from wayfold.operators.numbering import cut, drop
 
 #: The side of a tile in pixels, and the zoom beyond which tiles are loaded by those that hold them.
 TILE, LOADED = 256, 12
@@ -73,12 +73,14 @@ def write(rows: DataFrame, path: str, files: int | None = None, order: list[str]
     """Store rows (quadtile, ..) in files of one range of quadtiles each, about as many rows in every file, sorted by quadtile,
     then by `order`; and the index of the files (file, first, last, n). Rows without a quadtile are left out.
 
-    Spark chooses the ranges from a sample. Rows of one quadtile are kept together only as far as `order` doesn't tell them
+    Spark chooses the ranges from a sample, so rows are written once before, not computed twice. Rows of one quadtile are kept together only as far as `order` doesn't tell them
     apart: ranges are over both, so a crowded tile is spread over several files.
     """
     spark, keys = rows.sparkSession, ["quadtile", *(order or [])]
     parts = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.where("quadtile is not null").repartitionByRange(parts, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/rows")
+    made = cut(rows.where("quadtile is not null"))
+    made.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/rows")
+    drop(made)
     stored = spark.read.parquet(f"{path}/rows").select("quadtile", F.col("_metadata.file_path").alias("file"))
     index = stored.groupBy("file").agg(F.min("quadtile").alias("first"), F.max("quadtile").alias("last"), F.count("*").alias("n"))
     index.coalesce(1).sortWithinPartitions("first").write.mode("overwrite").parquet(f"{path}/index")

@@ -92,7 +92,8 @@ def cut_segments(segments: DataFrame, bits: int, zoom: int) -> DataFrame:
         tile = lambda c: F.floor(F.col(c) / size)
         first, last = F.least(tile(v), tile(f"next_{v}")) + 1, F.greatest(tile(v), tile(f"next_{v}"))
         borders = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-        return F.transform(borders, lambda b: (b * size - F.col(v)) / d.cast("double"))
+        # A crossing at the start is -0.0 where the segment goes back from it, which would stand beside 0.0.
+        return F.transform(borders, lambda b: (b * size - F.col(v)) / d.cast("double") + F.lit(0.0))
 
     ends = F.array(F.lit(0.0), F.lit(1.0))
     t = F.array_sort(F.array_distinct(F.concat(ends, crossings("x", dx), crossings("y", dy))))
