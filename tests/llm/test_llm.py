@@ -271,6 +271,16 @@ def test_licence_variants_match(spark):
     assert {r.doc_id: r.licence for r in licences.scan(docs, licences.known_licences(spark)).collect()} == {1: "MIT", 2: None, 3: None}
 
 
+def test_every_licence_is_found_among_documents(spark):
+    rows = licences.all_known()
+    docs = spark.createDataFrame([(k, f"a document {k}", 1) for k in range(15 * len(rows))] + [(None, None, 1)], "doc_id long, text string, k long")
+    found = licences.scan(licences.variants(docs), licences.known_licences(spark)).collect()
+    names = {-k - 1: rows[k % len(rows)][0] for k in range(15 * len(rows))}
+    assert len(found) == 2 * docs.count()
+    assert [(r.doc_id, r.licence) for r in found if r.doc_id is not None and r.licence != names.get(r.doc_id)] == []
+    assert sorted(str(r.licence) for r in found if r.doc_id is None) == ["MIT", "None"]
+
+
 def test_usual_licences_and_titles_match(spark):
     mit = dict(licences.KNOWN)["MIT"].partition("\n\n")[2]
     texts = {p.stem: p.read_text() for p in (licences.Path(licences.__file__).parent / "licence_texts").glob("*.txt")}

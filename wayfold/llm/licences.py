@@ -53,10 +53,10 @@ KNOWN = [
         "BSL-1.0",
         "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\nThe copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
-    ("notice-MIT", "Released under the MIT License."),
-    ("notice-Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("notice-CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("notice-GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    (
+        "MIT-0",
+        "MIT No Attribution\n\nCopyright <year> <copyright holder>\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
 ]
 
 # Marks that open a line of a comment in source code, and words that do.
@@ -92,6 +92,7 @@ def canonical(text: Column) -> Column:
 #: Title lines under which these licences stand; their texts below stand without a title too.
 TITLES = {
     "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "MIT-0": ["MIT No Attribution", "MIT No Attribution License"],
     "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
     "0BSD": ["Zero-Clause BSD", "BSD Zero Clause License"],
     "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License"],
@@ -138,7 +139,29 @@ def scan(documents: DataFrame, known: DataFrame) -> DataFrame:
     return docs.join(digests, docs["digest"] == digests["known_digest"], "left").drop("known_digest")
 
 
-def oracle_sql() -> str:
+def variants(documents: DataFrame) -> DataFrame:
+    """doc_id, text: the documents, and for each a whole known licence as it stands in the wild, dealt by doc_id: its letters as they
+    are, all upper or all lower, its lines behind a comment's marks or not, under a copyright line of some year. Such a
+    row's doc_id is the document's, less 1, negated; that of a null one is null.
+    """
+    rows = all_known()
+    known = documents.sparkSession.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "k long, known string")
+    n = F.coalesce("doc_id", F.lit(0))
+    dealt = common.only(documents, "doc_id").withColumn("k", F.pmod(n, F.lit(len(rows)))).join(F.broadcast(known), "k")  # the licences above
+    cased = F.when(n % 3 == 0, F.upper("known")).when(n % 3 == 1, F.lower("known")).otherwise(F.col("known"))
+    mark = F.when(n % 5 == 0, "# ").when(n % 5 == 1, " * ").otherwise("")
+    noted = F.concat(mark, F.lit("Copyright (c) "), (n % 40 + 1985).cast("string"), F.lit(" Someone\n"), mark, F.replace(cased, F.lit("\n"), F.concat(F.lit("\n"), mark)))
+    return common.only(documents, "doc_id", "text").unionByName(dealt.select((-F.col("doc_id") - 1).alias("doc_id"), noted.alias("text")))
+
+
+#: The rows of variants from documents and the numbered licences.
+VARIANTS_SQL = """SELECT doc_id, text FROM documents UNION ALL
+    SELECT -doc_id - 1, mark || 'Copyright (c) ' || (n % 40 + 1985) || ' Someone' || chr(10) || mark || replace(cased, chr(10), chr(10) || mark) FROM
+    (SELECT doc_id, n, CASE n % 3 WHEN 0 THEN upper(l.text) WHEN 1 THEN lower(l.text) ELSE l.text END AS cased, CASE n % 5 WHEN 0 THEN '# ' WHEN 1 THEN ' * ' ELSE '' END AS mark
+    FROM (SELECT doc_id, coalesce(doc_id, 0) AS n FROM documents) JOIN listed l ON k = n % (SELECT count(*) FROM listed))"""
+
+
+def oracle_sql(rows: str = "SELECT doc_id, text FROM documents") -> str:
     quote = lambda x: "'" + x.replace("'", "''").replace("\n", "\xb6") + "'"
 
     def clean(column: str) -> str:
@@ -151,11 +174,11 @@ def oracle_sql() -> str:
             out = f"replace({out}, ' {old.replace(' ', '  ')} ', ' {new.replace(' ', '  ')} ')"
         return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
 
-    values = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in all_known())
+    values = ", ".join(f"({k}, {quote(n)}, {quote(t)})" for k, (n, t) in enumerate(all_known()))
     return f"""
-    WITH listed AS (SELECT licence, replace(joined, '\xb6', chr(10)) AS text FROM (VALUES {values}) AS v(licence, joined)),
+    WITH listed AS (SELECT k, licence, replace(joined, '\xb6', chr(10)) AS text FROM (VALUES {values}) AS v(k, licence, joined)),
     known AS (SELECT sha256(c) AS d, min(licence) AS licence FROM (SELECT licence, {clean('text')} AS c FROM listed) WHERE c <> '' GROUP BY 1),
-    docs AS (SELECT doc_id, {clean('text')} AS c FROM documents)
+    docs AS (SELECT doc_id, {clean('text')} AS c FROM ({rows}))
     SELECT doc_id, sha256(c) AS digest, CAST(length(c) AS BIGINT) AS n_canonical, licence
     FROM docs LEFT JOIN known ON sha256(c) = d
     """

@@ -27,6 +27,11 @@ def op4_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents"), licences.known_licences(spark))
 
 
+def licence_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4's lookup on documents of which every second is a whole licence, changed in case, marks and copyright lines."""
+    return licences.scan(licences.variants(_table(spark, sf_dir, "documents")), licences.known_licences(spark))
+
+
 def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     return url_lists.judge(url_lists.captures_of(pages), url_lists.entries_of(pages))
@@ -69,12 +74,12 @@ def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = [op1_imatch, op2_mcd_outliers, op3_entropy_balance, op4_licence_digests, op5_url_lists, op6_best_two_fit, op7_toxicity, op8_line_runs, op9_chosen_path, op10_orc_tokens]
-    found += [op11_delta_lloyd, op12_norm_buckets, op13_chat_format]
+    found += [op11_delta_lloyd, op12_norm_buckets, op13_chat_format, licence_variants]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op4_licence_digests": licences.oracle_sql(), "op5_url_lists": url_lists.ORACLE_SQL, "op8_line_runs": line_runs.ORACLE_SQL,
+        "op4_licence_digests": licences.oracle_sql(), "licence_variants": licences.oracle_sql(licences.VARIANTS_SQL), "op5_url_lists": url_lists.ORACLE_SQL, "op8_line_runs": line_runs.ORACLE_SQL,
         "op11_delta_lloyd": lloyd.oracle_sql(), "op12_norm_buckets": negatives.ORACLE_SQL, "op13_chat_format": chat.ORACLE_SQL,
     }
