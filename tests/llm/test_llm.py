@@ -148,6 +148,10 @@ def test_outliers_keep_clean_and_reject_junk(spark, small):
     found = mcd.outliers(spark.read.parquet(f"{small}/documents.parquet")).join(spark.read.parquet(f"{small}/labels.parquet"), "doc_id").toPandas()
     asked = found[~found.base_failed]
     assert asked[asked.quality == 1].kept.mean() > 0.97 and asked[asked.quality == 0].kept.mean() < 0.2
+    good = found[~found.base_failed]
+    sizes = good.groupby(["lang_x", "source_x"] if "lang_x" in good else ["lang", "source"], dropna=False).transform("size")
+    assert ((sizes >= mcd.LEAST_ROWS) == (good["pool"] == 0)).all() and (good[good["pool"] == 0].pool_rows == sizes[good["pool"] == 0]).all()
+    assert (good[good["pool"] > 0].pool_rows >= mcd.LEAST_ROWS).all()
 
 
 def test_outliers_in_one_share_only(spark):

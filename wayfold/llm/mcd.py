@@ -226,8 +226,10 @@ def _model_row(gid: int, start: int, n: int, done: bool, log_det: float, centre:
 
 
 def _grouped(stats: DataFrame) -> DataFrame:
-    """stats with gid: groups with fewer than LEAST_ROWS rows that pass the base rules are pooled by language, then
-    altogether; gid is null where even all of those are too few."""
+    """stats with gid and pool (0: a group's own rows, 1: its language's small groups, 2: those of all other languages).
+
+    Groups with fewer than LEAST_ROWS rows that pass the base rules are pooled by language, then altogether; both are null
+    where even all of those are too few."""
     good = F.sum((~F.col("base_failed")).cast("long"))
     sizes = stats.groupBy("lang", "source").agg(good.alias("n"))
     small = F.col("n") < LEAST_ROWS
@@ -236,8 +238,9 @@ def _grouped(stats: DataFrame) -> DataFrame:
     rest = named.where("level = 2").agg(F.sum("n")).first()[0] or 0
     text = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
     gid = F.xxhash64("level", F.when(F.col("level") < 2, text("lang")), F.when(F.col("level") < 1, text("source")))
-    named = named.select("lang", "source", F.when((F.col("level") < 2) | F.lit(rest >= LEAST_ROWS), gid).alias("gid"))
-    named = common.stash(named.select(F.col("lang").alias("__l"), F.col("source").alias("__s"), "gid"), "mcd-groups")
+    known = (F.col("level") < 2) | F.lit(rest >= LEAST_ROWS)
+    named = named.select(F.col("lang").alias("__l"), F.col("source").alias("__s"), F.when(known, gid).alias("gid"), F.when(known, F.col("level")).alias("pool"))
+    named = common.stash(named, "mcd-groups")
     same = F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s"))
     return stats.join(common.small(named), same).drop("__l", "__s")
 
@@ -326,7 +329,8 @@ def outliers(documents: DataFrame) -> DataFrame:
     Estimates rest on the rows that pass the base rules. Null languages and sources are groups of their own. A group
     with fewer than LEAST_ROWS such rows is pooled with the others of its language, and those of languages with too few
     altogether; if those are too few as well they have no estimate, and base rules alone decide. Null and empty texts
-    have no words and fail the base rules. Texts are measured whole, whatever their length. Repeated rows count as often
+    have no words and fail the base rules. `pool` and `pool_rows` tell which rows, and how many, a row's estimate rests on;
+    of the fewer they are the wider the cutoff is, so that of normal rows the same share is kept at any size. Texts are measured whole, whatever their length. Repeated rows count as often
     as they occur; an empty table gives no rows; extra columns are ignored.
     """
     common.batch_rows(documents.sparkSession, 1000)
@@ -340,12 +344,12 @@ def outliers(documents: DataFrame) -> DataFrame:
     def with_cutoff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for table in batches:
             n = [int(k) for k in table["n"]]
-            yield table.assign(cutoff=[cutoff(k) for k in n], factor=[consistency(k) for k in n]).drop(columns=["n", "log_det"])
+            yield table.assign(cutoff=[cutoff(k) for k in n], factor=[consistency(k) for k in n]).drop(columns=["log_det"]).rename(columns={"n": "pool_rows"})
 
-    types = ", ".join(["gid long", *(f"{c} double" for c in _MODEL), "cutoff double", "factor double"])
+    types = ", ".join(["gid long", "pool_rows long", *(f"{c} double" for c in _MODEL), "cutoff double", "factor double"])
     limits = common.stash(models.mapInPandas(with_cutoff, types), "mcd-limits")
     judged = grouped.join(common.small(limits), "gid", "left").withColumn("distance2", _distance() / F.col("factor"))
     return judged.select(
-        "doc_id", "lang", "source", *_STATS.names, "base_failed", "distance2", "cutoff",
+        "doc_id", "lang", "source", *_STATS.names, "base_failed", "pool", "pool_rows", "distance2", "cutoff",
         (~F.col("base_failed") & F.coalesce(F.col("distance2") <= F.col("cutoff"), F.lit(True))).alias("kept"),
     )
