@@ -305,6 +305,28 @@ def test_url_lists_by_hand(spark):
     assert url_lists.judge(rows.where("false"), entries).count() == 0 and url_lists.judge(rows, entries.where("false")).count() == 8
 
 
+def test_busy_domains_are_dealt(spark):
+    """A listed parent of two thirds of all captures, an unlisted top-level domain of all, and one host's time with a third."""
+    seen = [(k, f"http://h{k % 300}.busy.com/", 100 + k % 7) for k in range(1200)] + [(k, f"http://z{k}.net.com/", 103) for k in range(1200, 1500)] + [(k, "http://one.com/", 104) for k in range(1500, 2300)]
+    listed = [("busy.com", "block", 101), ("busy.com", "allow", 103), ("h5.busy.com", "block", 104), ("one.com", "block", 104), ("busy.com", "unlist", 105)]
+    rows = spark.createDataFrame(seen, "page_id long, url string, s long").selectExpr("page_id", "url", "timestamp_seconds(s) fetched_at")
+    entries = spark.createDataFrame(listed, "pattern string, action string, s long").selectExpr("pattern", "action", "timestamp_seconds(s) listed_at")
+
+    def verdict(url: str, at: int) -> tuple:
+        names = url[7:-1].split(".")
+        for name in (".".join(names[i:]) for i in range(len(names))):
+            acts = [a for p, a, s in sorted(listed, key=lambda e: e[2]) if p == name and s <= at]
+            if acts and acts[-1] != "unlist":
+                return name, acts[-1]
+        return None, None
+
+    found = {(r.page_id, r.pattern, r.action, r.blocked) for r in url_lists.judge(rows, entries).collect()}
+    assert found == {(k, *verdict(u, s), verdict(u, s)[1] == "block") for k, u, s in seen}
+    tried = rows.selectExpr("explode(array('busy.com', 'com', url)) pattern")
+    busy = {r.pattern: (r.shares, r.listed) for r in url_lists.busy_patterns(tried, url_lists.intervals(entries), 3 * len(seen)).collect()}
+    assert busy["com"] == busy["busy.com"][:1] + (False,) and busy["busy.com"] == (-(-len(seen) // 6), True)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_ids_equal_whole_encoding(name):
     import pyarrow as pa

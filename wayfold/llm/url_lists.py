@@ -38,32 +38,57 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures (page_id, url, fetched_at) with host, pattern, action, blocked: what the most specific entry active at
     fetched_at says, the pattern being the host or a parent domain of it; null pattern where none was active.
 
-    A hosts' distinct times are judged once. Interval and capture meet in buckets of BUCKET seconds, so an entry is read
-    only by captures near its time, however long its list is. Captures without host or time are not blocked.
+    A host's distinct times are judged once. Interval and capture meet in buckets of BUCKET seconds, so an entry is read
+    only by captures near its time, however long its list is. Patterns that more than common.HOT of all questions ask for,
+    such as top-level domains, are left out where the list doesn't name them, else their questions are dealt over shares
+    of even size and their intervals sent to each. Captures without host or time are not blocked. Repeated rows are kept,
+    extra columns ignored; without captures there are no rows, without entries nothing is blocked.
     """
     seen = common.only(captures, "page_id", "url", "fetched_at").withColumn("host", host_of(F.col("url")))
-    asked = seen.where("host <> '' and fetched_at is not null").groupBy("host", "fetched_at").agg(F.lit(1).alias("one"))
+    dated = (F.col("host") != "") & F.col("fetched_at").isNotNull()
+    key = ["host", "fetched_at"]
+    asked = common.stash(seen.where(dated).groupBy(*key).agg(F.count("*").alias("n")), "asked")
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     bucket = lambda at: F.floor(F.unix_seconds(at) / BUCKET)
-    asked = asked.select("host", "fetched_at", bucket(F.col("fetched_at")).alias("bucket"), F.explode(parents).alias("pattern"))
-    last = F.broadcast(seen.agg(F.max("fetched_at").alias("last")))  # one row
+    tried = asked.select(*key, bucket(F.col("fetched_at")).alias("bucket"), F.explode(parents).alias("pattern"))
+    last = F.broadcast(asked.agg(F.max("fetched_at").alias("last")))  # one row
     valid = intervals(entries).join(last).where("valid_from <= last")
     until = F.least(F.coalesce("valid_to", "last"), "last")
     spread = valid.select(
         "pattern", "action", "valid_from", "valid_to", F.explode(F.sequence(bucket(F.col("valid_from")), bucket(until))).alias("bucket")
     )
+    questions, total = asked.agg(F.sum(F.size(labels)), F.sum("n")).first()
+    busy = common.stash(busy_patterns(tried, valid, questions or 0), "busy")  # fewer than 1 / HOT rows
+    shares = F.coalesce("shares", F.lit(1))
+    dealt = (
+        tried.join(F.broadcast(busy), "pattern", "left")
+        .where("shares is null or listed")
+        .withColumn("share", F.pmod(F.xxhash64(*key), shares).cast("int"))
+    )
+    sent = spread.join(F.broadcast(busy), "pattern", "left").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1)))
     active = (F.col("valid_from") <= F.col("fetched_at")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
     found = (
-        asked.join(spread, ["pattern", "bucket"])
+        dealt.drop("shares", "listed")
+        .join(sent.drop("shares", "listed"), ["pattern", "bucket", "share"])
         .where(active)
-        .groupBy("host", "fetched_at")
+        .groupBy(*key)
         .agg(F.max_by(F.struct("pattern", "action"), F.length("pattern")).alias("hit"))
-        .select(F.col("host").alias("h"), F.col("fetched_at").alias("t"), "hit.*")
     )
-    joined = seen.join(found, (seen["host"] == found["h"]) & (seen["fetched_at"] == found["t"]), "left")
+    judged = common.stash(asked.join(found, key, "left").select(*key, "n", "hit.pattern", "hit.action"), "judged")
+    hits = common.join_counted(seen.where(dated), judged, key, total or 0, "left").drop("n")
+    none = seen.where(~F.coalesce(dated, F.lit(False))).withColumns({"pattern": F.lit(None).cast("string"), "action": F.lit(None).cast("string")})
     blocked = F.coalesce(F.col("action") == "block", F.lit(False))
-    return joined.select("page_id", "host", "fetched_at", "pattern", "action", blocked.alias("blocked"))
+    return hits.unionByName(none).select("page_id", "host", "fetched_at", "pattern", "action", blocked.alias("blocked"))
+
+
+def busy_patterns(tried: DataFrame, valid: DataFrame, questions: int) -> DataFrame:
+    """pattern, shares, listed of the patterns with more than common.HOT of all questions (their number is given): over
+    how many shares of about that size they are dealt, and if the list names them at all."""
+    size = max(1, int(questions * common.HOT))
+    busy = tried.groupBy("pattern").agg(F.ceil(F.count("*") / size).cast("int").alias("shares")).where("shares > 1")
+    names = valid.select(F.col("pattern").alias("name")).distinct()
+    return busy.join(names, F.col("pattern") == F.col("name"), "left").select("pattern", "shares", F.col("name").isNotNull().alias("listed"))
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
