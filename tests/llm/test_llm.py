@@ -135,6 +135,17 @@ def test_edits_do_not_depend_on_partitions(spark, small):
     assert one == {tuple(r) for r in imatch.with_edits(docs.repartition(7), rows_per_part=9).collect()}
 
 
+def test_ends_of_ranges_meet(spark):
+    """Ranges 0, 1, 4 and 5, with none between 1 and 4."""
+    lasts = [(0, 10, "a", None), (1, None, "b", None), (4, 40, "", None), (5, 50, "e", None)]
+    heads = [(-1, None, None, "A"), (0, None, None, ""), (3, None, None, "D"), (4, None, None, "E")]
+    rows = spark.createDataFrame(lasts + heads, "part int, doc_id long, text string, next_text string").repartition(3)
+    found = {tuple(r) for r in imatch.range_ends(rows).collect()}
+    assert found == {(10, "a", ""), (None, "b", "D"), (40, "", "E"), (50, "e", "A")}
+    one = rows.where("part = 0 and text is not null or part = -1")
+    assert [tuple(r) for r in imatch.range_ends(one).collect()] == [(10, "a", "A")] and imatch.range_ends(rows.where("false")).count() == 0
+
+
 def test_text_statistics_by_hand():
     text = "a b c d\na b c e\n\na b c d\n# $"
     words = text.split()

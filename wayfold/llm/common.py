@@ -68,9 +68,13 @@ def word_count(text: Column) -> Column:
     ).cast("long")
 
 
+#: Ranges that in_order makes at most; with more rows each holds more, which a task reads in batches.
+RANGES = 1 << 15
+
+
 def in_order(docs: DataFrame, rows_per_part: int, *tie_breaks: str) -> DataFrame:
     """docs dealt out by ranges of doc_id (nulls first) and sorted within each, with the range's number as `part`."""
-    parts = max(1, -(-docs.count() // rows_per_part))
+    parts = min(RANGES, max(1, -(-docs.count() // rows_per_part)))
     order = [F.asc_nulls_first("doc_id"), *tie_breaks]
     return (
         docs.repartitionByRange(parts, F.asc_nulls_first("doc_id"))

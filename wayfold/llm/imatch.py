@@ -20,7 +20,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from wayfold.llm import common
 from wayfold.llm.common import DOUBLE, INT, LONG, STRING, schema
@@ -168,14 +167,14 @@ def with_edits(documents: DataFrame, low: float = LOW, high: float = HIGH, least
     empty ones. Texts of any length are read whole. Repeated rows are kept, extra columns ignored; an empty table gives no
     rows, and a single document is followed by itself.
 
-    Documents are dealt out by ranges of doc_id. All but the last of each range find their follower there; for those
-    last ones, the first of the next range is looked up in a table of two rows a range. Both read one exchange.
+    Documents are dealt out by ranges of doc_id. All but the last of each range find their follower there. A range's last
+    document and the next range's first text meet by the range's number, two texts in a group. Both read one exchange.
     """
     common.batch_rows(documents.sparkSession, 500)
     words = documents.sparkSession.sparkContext.broadcast(lexicon(documents, low, high))
     docs = common.only(documents, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     result = schema(doc_id=LONG, n_chars=LONG, edited_sha256=STRING, fingerprint=STRING, edited_fingerprint=STRING, near_edited=DOUBLE, near_next=DOUBLE)
-    ends = schema(part=INT, first=STRING, doc_id=LONG, text=STRING)
+    ends = schema(part=INT, doc_id=LONG, text=STRING, next_text=STRING)
 
     def row(prints: Prints, doc_id: int, text: str, own: np.ndarray, following: str, its: np.ndarray) -> dict:
         changed = edited(text, following)
@@ -206,13 +205,10 @@ def with_edits(documents: DataFrame, low: float = LOW, high: float = HIGH, least
                 first = first or b.slice(0, 1).to_pylist()[0]
                 last = b.slice(b.num_rows - 1, 1)
         if first is not None:
-            yield arrow([last.to_pylist()[0] | {"first": first["text"]}], ends)
+            yield arrow([last.to_pylist()[0], {"part": first["part"] - 1, "next_text": first["text"]}], ends)
 
     dealt = common.in_order(docs, rows_per_part, "text")
-    sides = dealt.mapInArrow(ends_of, ends)
-    place = W.orderBy("part")
-    head = F.first("first").over(place.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    bounds = sides.select("doc_id", "text", F.coalesce(F.lead("first").over(place), head).alias("next_text"))
+    bounds = range_ends(dealt.mapInArrow(ends_of, ends))
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = Prints(words.value, least)
@@ -220,3 +216,23 @@ def with_edits(documents: DataFrame, low: float = LOW, high: float = HIGH, least
             yield arrow([row(prints, r["doc_id"], r["text"], prints(r["text"]), r["next_text"], prints(r["next_text"])) for r in b.to_pylist()], result)
 
     return dealt.mapInArrow(walk, result).unionByName(bounds.mapInArrow(join_up, result))
+
+
+def range_ends(sides: DataFrame) -> DataFrame:
+    """doc_id, text, next_text of each range's last document and the first text of the range after it (after the last:
+    the first) from rows (part, doc_id, text) of last documents and rows (part, next_text) of first texts, these under the
+    part before theirs.
+
+    They meet by part. Beside an empty range they don't, nor at the very ends: those rows are put in order in one
+    task. They are four at most, since a range ends at a row's id, so none but the last range can be empty.
+    """
+    own = F.when(F.col("text").isNotNull(), F.struct("doc_id", "text"))
+    pairs = sides.groupBy("part").agg(F.first(own, True).alias("last"), F.first("next_text", True).alias("next_text"))
+    met = F.col("last").isNotNull() & F.col("next_text").isNotNull()
+    lasts = F.collect_list(F.when(F.col("last").isNotNull(), F.struct("part", "last")))
+    heads = F.array_sort(F.collect_list(F.when(F.col("next_text").isNotNull(), F.struct("part", "next_text"))))
+    rest = pairs.where(~met).agg(lasts.alias("lasts"), heads.alias("heads")).select(F.explode("lasts").alias("l"), "heads")
+    after = F.filter("heads", lambda h: h["part"] >= F.col("l.part"))
+    follower = F.coalesce(F.get(after, F.lit(0)), F.get("heads", F.lit(0)))
+    found = pairs.where(met).select("last.doc_id", "last.text", "next_text")
+    return found.unionByName(rest.select("l.last.doc_id", "l.last.text", follower["next_text"].alias("next_text")))
