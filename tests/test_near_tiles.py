@@ -1,6 +1,7 @@
 """Nearest targets without a radius, and lines and areas cut by tiles, against brute force."""
 
 import collections
+import random
 
 import numpy as np
 import pytest
@@ -100,3 +101,23 @@ def test_a_line_that_starts_on_a_border_has_no_empty_piece(spark):
     parts = tiles.cut_segments(segments, 6, 2).collect()
     assert all((r.from_x, r.from_y) != (r.to_x, r.to_y) for r in parts)
     assert sorted((r.way, r.tile_x, r.tile_y) for r in parts) == [(1, 0, 0), (2, 1, 1), (3, 0, 0), (4, 0, 1), (4, 0, 2)]
+
+
+def test_packages_of_all_sizes_by_brute_force(spark):
+    """Packages from a point to the whole plane, a busy cell, nulls, and packages turned round."""
+    draw = random.Random(5)
+    points = [(k, draw.randrange(-3000, 3000), draw.randrange(-3000, 3000)) for k in range(300)] + [(k, 7, 7) for k in range(300, 500)] + [(500, None, 3)]
+    packages = [(k, *(draw.randrange(-3000, 3000) for _ in range(2))) for k in range(60)]
+    packages = [(k, x, y, x + draw.choice([0, 3, 90, 2000]), y + draw.choice([0, 5, 700])) for k, x, y in packages]
+    packages += [(60, -4000, -4000, 4000, 4000), (61, 7, 7, 7, 7), (62, None, 0, 9, 9), (63, 9, 9, 0, 0)]
+    own = spark.createDataFrame(points, "point long, px long, py long")
+    boxes = spark.createDataFrame(packages, "package long, min_x long, min_y long, max_x long, max_y long")
+    want = set()
+    for p, x, y in points:
+        over = [k for k, a, b, c, d in packages if None not in (x, y, a, b, c, d) and a <= x <= c and b <= y <= d]
+        want |= {(p, k, i) for i, k in enumerate(sorted(over))}
+    found = tiles.in_packages(own, boxes)
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 700
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert tiles.in_packages(own, boxes.where("false")).count() == 0 and tiles.in_packages(own.where("false"), boxes).count() == 0

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from wayfold.operators import spatial
+
 # Place types in the order of label sizes, and the zoom from which each is shown.
 LABEL_ORDER = ["City", "Town", "Village", "Station", "Suburb", "Hamlet"]
 
@@ -138,9 +140,25 @@ def quadtree(points: DataFrame, bits: int, depth: int, least: int) -> DataFrame:
 
 def in_packages(points: DataFrame, packages: DataFrame) -> DataFrame:
     """point, package, hit of the packages (package, min_x, min_y, max_x, max_y) over a point (px, py), numbered by package: a
-    user's repeated clicks go through them. Packages are few; Spark broadcasts them by size."""
+    user's repeated clicks go through them.
+
+    A package meets points in cells whose side is the power of two from its own longer side on, so it covers four at most
+    whatever its size. A point is asked once for each such side that occurs. Crowded cells are dealt over tasks. Packages
+    and points with a null among their coordinates, and packages that end before they begin, have no hits.
+    """
+    box = ["min_x", "min_y", "max_x", "max_y"]
+    longer = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"), F.lit(1)).cast("double")
+    sized = packages.select("package", *box).na.drop(subset=box).where("min_x <= max_x and min_y <= max_y").withColumn("level", F.ceil(F.log2(longer)).cast("int"))
+    levels = sorted(r.level for r in sized.select("level").distinct().collect())  # a few dozen powers of two
+    if not levels:
+        levels = [0]
+    cell = lambda v: F.floor(F.col(v) / F.pow(F.lit(2.0), F.col("level")))
+    wide = sized.withColumn("cx", F.explode(F.sequence(cell("min_x"), cell("max_x"))))
+    covered = wide.withColumn("cy", F.explode(F.sequence(cell("min_y"), cell("max_y"))))
+    asked = points.select("point", "px", "py").na.drop(subset=["px", "py"]).withColumn("level", F.explode(F.array(*[F.lit(n) for n in levels])))
+    asked = asked.withColumn("cx", cell("px")).withColumn("cy", cell("py"))
     on = F.col("px").between(F.col("min_x"), F.col("max_x")) & F.col("py").between(F.col("min_y"), F.col("max_y"))
-    hits = points.join(packages, on).select("point", "package")
+    hits = spatial.meet(asked, covered, ["level", "cx", "cy"]).where(on).select("point", "package")
     return hits.withColumn("hit", F.row_number().over(W.partitionBy("point").orderBy("package")) - 1)
 
 
