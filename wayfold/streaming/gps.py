@@ -26,9 +26,10 @@ def read_socket(spark: SparkSession, host: str = "localhost", port: int = 2947)
 
 def track_segments(fixes: DataFrame, gap_seconds: int) -> DataFrame:
     """fixes (device, ts, valid, fix) with the number of their segment: an invalid fix or a gap ends one. Invalid
-    fixes are dropped. Batch form."""
+    fixes are dropped. Times count in whole seconds, rounded (halves to even). Batch form."""
     along = W.partitionBy("device").orderBy("ts", "fix")
-    late = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(along)) > gap_seconds
+    whole = lambda ts: F.rint(F.unix_micros(ts.cast("timestamp")) / 1e6).cast("long")
+    late = whole(F.col("ts")) - whole(F.lag("ts").over(along)) > gap_seconds
     broken = F.coalesce(late, F.lit(False)) | ~F.coalesce(F.lag("valid").over(along), F.lit(True))
     numbered = fixes.withColumn("new", broken.cast("int")).withColumn("segment", F.sum("new").over(along.rowsBetween(W.unboundedPreceding, 0)))
     return numbered.where("valid").drop("new")
