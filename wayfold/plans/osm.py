@@ -123,7 +123,7 @@ curved AS (SELECT *, CASE WHEN radius > 2.5 AND radius < 1000 THEN least(raw, sq
 
 
 def _curved(spark, d) -> DataFrame:
-    s = network.edge_segments(tables.way_nodes(spark, d), tables.nodes(spark, d)).join(tables.ways(spark, d), "way")
+    s = tables.segments(spark, d).join(tables.ways(spark, d), "way")
     dx, dy = F.col("next_x") - F.col("x"), F.col("next_y") - F.col("y")
     s = s.withColumn("metres", F.sqrt(dx * dx + dy * dy) * tables.UNIT_M).withColumn("speed", F.col("limit") * F.col("average") / 100.0)
     return turns.segment_speeds(s, 1.5)
@@ -195,7 +195,7 @@ def _cities(spark, d) -> DataFrame:
 
 
 def _addresses(spark, d) -> DataFrame:
-    segments = cut(network.edge_segments(tables.way_nodes(spark, d), tables.nodes(spark, d)).select("way", "edge", "node", "next_node"))
+    segments = cut(tables.segments(spark, d).select("way", "edge", "node", "next_node"))
     w = F.col("way")
     names = tables.ways(spark, d).select("way", F.when(w % 50 == 7, "").otherwise(F.concat(F.lit("S"), (w % 50).cast("string"))).alias("name"))
     return cities.addresses(segments, names, cut(_cities(spark, d)))
@@ -363,7 +363,7 @@ def scalar_functions(spark, d):
 )
 def edge_keys(spark, d):
     """Edges by (source, target, ordinal), the number among parallel ones, and whether another way leaves at their end."""
-    return network.edge_keys(road._edges(spark, d).select("way", "edge", "source", "target", "oneway"))
+    return network.edge_keys(road._edges(spark, d).select("way", "edge", "source", "target", "oneway"), tables.shares(spark, d))
 
 
 @query("SELECT node, true AS close FROM nodes WHERE x BETWEEN 6000 AND 30000")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfold.operators import nearest, network, tiles
+from wayfold.operators import nearest, tiles
 from wayfold.plans import road, tables
 from wayfold.plans.road import query
 
@@ -46,7 +46,7 @@ def pieces_sql(size: int) -> str:
 )
 def tile_lines(spark, d):
     """All ways cut at the borders of 16 tiles."""
-    segments = network.edge_segments(tables.way_nodes(spark, d), tables.nodes(spark, d))
+    segments = tables.segments(spark, d)
     cut = tiles.cut_lines(segments, 15, 2)
     at = lambda i, v: F.round(F.element_at("line", i)[v], 4)
     return cut.select(
