@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,42 +77,51 @@ def units_per_metre(lat: Column) -> Column:
     return float(1 << BITS) / 360.0 / haversine_m(lat, F.lit(0.0), lat, F.lit(1.0))
 
 
+def _vincenty(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray, rounds: int) -> np.ndarray:
+    """vincenty_m of arrays, NaN for null. A pair that has settled takes no part in further iterations."""
+    a, b, f = 6378137.0, 6356752.314245, 1 / 298.257223563
+    u1, u2 = (np.arctan((1 - f) * np.tan(np.radians(lat))) for lat in (lat1, lat2))
+    known = np.stack([np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2), np.radians(lon2 - lon1)])
+
+    def parts(k: np.ndarray, lam: np.ndarray) -> tuple[np.ndarray, ...]:
+        s1, c1, s2, c2, _ = k
+        sin_s = np.sqrt((c2 * np.sin(lam)) ** 2 + (c1 * s2 - s1 * c2 * np.cos(lam)) ** 2)
+        cos_s = s1 * s2 + c1 * c2 * np.cos(lam)
+        sin_a = np.where(sin_s == 0, 0.0, c1 * c2 * np.sin(lam) / sin_s)
+        cos2_a = 1 - sin_a * sin_a
+        return sin_s, cos_s, sin_a, cos2_a, np.where(cos2_a < 1e-15, 0.0, cos_s - 2 * s1 * s2 / cos2_a)
+
+    lam, off, left = known[4].copy(), np.ones(len(lat1)), np.flatnonzero(~np.isnan(known).any(axis=0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for _ in range(rounds):
+            if not len(left):
+                break
+            k = known[:, left]
+            sin_s, cos_s, sin_a, cos2_a, cos_m = parts(k, lam[left])
+            c = f / 16 * cos2_a * (4 + f * (4 - 3 * cos2_a))
+            new = k[4] + (1 - c) * f * sin_a * (np.arctan2(sin_s, cos_s) + c * sin_s * (cos_m + c * cos_s * (-1 + 2 * cos_m * cos_m)))
+            off[left] = np.abs(new - lam[left])
+            lam[left] = new
+            left = left[~(off[left] <= 1e-12)]
+        sin_s, cos_s, _, cos2_a, cos_m = parts(known, lam)
+    v2 = cos2_a * (a * a - b * b) / (b * b)
+    big_a = 1 + v2 / 16384 * (4096 + v2 * (-768 + v2 * (320 - 175 * v2)))
+    big_b = v2 / 1024 * (256 + v2 * (-128 + v2 * (74 - 47 * v2)))
+    inner = cos_s * (-1 + 2 * cos_m * cos_m) - big_b / 6 * cos_m * (-3 + 4 * sin_s * sin_s) * (-3 + 4 * cos_m * cos_m)
+    bent = big_b * sin_s * (cos_m + big_b / 4 * inner)
+    return np.where(off <= 1e-9, b * big_a * (np.arctan2(sin_s, cos_s) - bent), np.nan)
+
+
 def vincenty_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, rounds: int = 50) -> Column:
     """Distance on the WGS84 ellipsoid by Vincenty's inverse formula, of up to `rounds` iterations; they end within 1e-12.
-    Null where they don't settle (nearly opposite points)."""
-    a, b, f = 6378137.0, 6356752.314245, 1 / 298.257223563
-    u = lambda lat: F.atan((1 - f) * F.tan(F.radians(lat)))
-    known = F.struct(
-        F.sin(u(lat1)).alias("s1"), F.cos(u(lat1)).alias("c1"), F.sin(u(lat2)).alias("s2"), F.cos(u(lat2)).alias("c2"), F.radians(lon2 - lon1).alias("long")
-    )
+    Null where they don't settle (nearly opposite points). In NumPy, since an aggregate over rounds takes them all for
+    every row."""
 
-    def parts(k: Column, lam: Column) -> tuple[Column, ...]:
-        sin_s = F.sqrt(F.pow(k["c2"] * F.sin(lam), 2) + F.pow(k["c1"] * k["s2"] - k["s1"] * k["c2"] * F.cos(lam), 2))
-        cos_s = k["s1"] * k["s2"] + k["c1"] * k["c2"] * F.cos(lam)
-        sin_a = F.when(sin_s == 0, 0.0).otherwise(k["c1"] * k["c2"] * F.sin(lam) / sin_s)
-        cos2_a = 1 - sin_a * sin_a
-        cos_m = F.when(cos2_a < 1e-15, 0.0).otherwise(cos_s - 2 * k["s1"] * k["s2"] / cos2_a)
-        return sin_s, cos_s, sin_a, cos2_a, cos_m
-
-    def step(state: Column, _: Column) -> Column:
-        k, lam = state["k"], state["lam"]
-        sin_s, cos_s, sin_a, cos2_a, cos_m = parts(k, lam)
-        c = f / 16 * cos2_a * (4 + f * (4 - 3 * cos2_a))
-        new = k["long"] + (1 - c) * f * sin_a * (F.atan2(sin_s, cos_s) + c * sin_s * (cos_m + c * cos_s * (-1 + 2 * cos_m * cos_m)))
-        settled = state["off"] <= 1e-12
-        return F.struct(k.alias("k"), F.when(settled, lam).otherwise(new).alias("lam"), F.when(settled, state["off"]).otherwise(F.abs(new - lam)).alias("off"))
-
-    def finish(state: Column) -> Column:
-        sin_s, cos_s, _, cos2_a, cos_m = parts(state["k"], state["lam"])
-        u2 = cos2_a * (a * a - b * b) / (b * b)
-        big_a = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
-        big_b = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
-        inner = cos_s * (-1 + 2 * cos_m * cos_m) - big_b / 6 * cos_m * (-3 + 4 * sin_s * sin_s) * (-3 + 4 * cos_m * cos_m)
-        off = big_b * sin_s * (cos_m + big_b / 4 * inner)
-        return F.when(state["off"] <= 1e-9, b * big_a * (F.atan2(sin_s, cos_s) - off))
-
-    start = F.struct(known.alias("k"), known["long"].alias("lam"), F.lit(1.0).alias("off"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, finish)
+    @F.pandas_udf("double")
+    def metres(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series(_vincenty(*(v.to_numpy(dtype=float) for v in (a, b, c, d)), rounds))
+
+    return metres(*(v.cast("double") for v in (lat1, lon1, lat2, lon2)))
 
 
 def segment_fraction(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
