@@ -8,12 +8,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EARTH_M = 6372797.560856
 #: Bits of a quantised coordinate.
 BITS = 30
 
 
+@F.pandas_udf(T.DoubleType())
+def atan2(y: pd.Series, x: pd.Series) -> pd.Series:
+    """The angle by the C library, as SQL engines take it. The JVM's differs in the last place for some, and then edges that are
+    straight on would turn left."""
+    return pd.Series(np.fromiter(map(math.atan2, y.tolist(), x.tolist()), float, len(x)))
+
+
 def mercator_x(lon: Column) -> Column:
     return (lon + 180.0) / 360.0
 

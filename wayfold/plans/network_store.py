@@ -105,8 +105,8 @@ def build(
     # A node without access is a new one at each visit: numbers below zero, by way and place.
     fresh = lambda node, access, pos: F.when(F.col(access), F.col(node)).otherwise(-(F.col("way") * 65536 + pos) - 1)
     point = F.struct("pos", F.struct("lat", "lon").alias("p"))
-    leaving = F.struct(F.atan2((F.col("next_y") - F.col("y")).cast("double"), (F.col("next_x") - F.col("x")).cast("double")).alias("angle"), F.col("metres").alias("length"), "speed")
-    arriving = F.struct(F.atan2((F.col("y") - F.col("next_y")).cast("double"), (F.col("x") - F.col("next_x")).cast("double")).alias("angle"), F.col("metres").alias("length"), "speed")
+    leaving = F.struct(geo.atan2((F.col("next_y") - F.col("y")).cast("double"), (F.col("next_x") - F.col("x")).cast("double")).alias("angle"), F.col("metres").alias("length"), "speed")
+    arriving = F.struct(geo.atan2((F.col("y") - F.col("next_y")).cast("double"), (F.col("x") - F.col("next_x")).cast("double")).alias("angle"), F.col("metres").alias("length"), "speed")
     found = rows.groupBy("way", "edge").agg(
         F.min_by(fresh("node", "access", F.col("pos")), "pos").alias("from_id"), F.max_by(fresh("next_node", "next_access", F.col("pos") + 1), "pos").alias("to_id"),
         F.sum("metres").alias("metres"), F.sum("seconds").alias("seconds"), *[F.first(c).alias(c) for c in ("oneway", "class", "name", "ref")],

@@ -156,18 +156,19 @@ def curve_limits(spark, d):
 def turn_costs(spark, d):
     """Turn costs at all nodes, as means by side: curves, pedestrians, crossing traffic and slowing down."""
     s = _curved(spark, d)
-    dx, dy = (F.col("next_x") - F.col("x")).cast("double"), (F.col("next_y") - F.col("y")).cast("double")
+    dx, dy = F.col("next_x") - F.col("x"), F.col("next_y") - F.col("y")
     kinds = F.array(*[F.lit(k) for k in ("5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT")])
-    s = s.withColumns({"class": (F.array_position(kinds, F.col("kind")) - 1).cast("int"), "out": F.atan2(dy, dx), "back": F.atan2(-dy, -dx)})
+    s = s.withColumns({"class": (F.array_position(kinds, F.col("kind")) - 1).cast("int"), "dx": dx, "dy": dy, "back_dx": -dx, "back_dy": -dy})
     at = lambda c, which: getattr(F, which)(c, "pos")
     e = s.groupBy("way", "edge").agg(
         F.first("class").alias("class"), F.first("oneway").alias("oneway"), at("node", "min_by").alias("source"), at("next_node", "max_by").alias("target"),
-        F.struct(at("out", "min_by").alias("angle"), at("metres", "min_by").alias("length"), at("speed", "min_by").alias("speed")).alias("s"),
-        F.struct(at("back", "max_by").alias("angle"), at("metres", "max_by").alias("length"), at("speed", "max_by").alias("speed")).alias("t"),
+        F.struct(at("dx", "min_by").alias("dx"), at("dy", "min_by").alias("dy"), at("metres", "min_by").alias("length"), at("speed", "min_by").alias("speed")).alias("s"),
+        F.struct(at("back_dx", "max_by").alias("dx"), at("back_dy", "max_by").alias("dy"), at("metres", "max_by").alias("length"), at("speed", "max_by").alias("speed")).alias("t"),
     )
     ends = network.edge_ends(e)
     own = lambda c: F.when(F.col("side") == 0, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c)
-    ends = cut(ends.select("node", "way", "edge", "side", "forward", "backward", "class", own("angle"), own("length"), own("speed")))
+    ends = ends.select("node", "way", "edge", "side", "forward", "backward", "class", own("dx"), own("dy"), own("length"), own("speed"))
+    ends = cut(ends.withColumn("angle", geo.atan2(F.col("dy").cast("double"), F.col("dx").cast("double"))).drop("dx", "dy"))
     classes = spark.createDataFrame(_CLASSES, "class int, priority int, pedestrian boolean, left_penalty double, right_penalty double, yields_left boolean, yields_right boolean, yields_straight boolean")
     return turns.turn_averages(turns.turn_costs(ends, classes))
 
