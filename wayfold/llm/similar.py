@@ -9,7 +9,8 @@ In a large node every signature is compared with the node's centre too, the most
 CENTRE of its sets: sets near the centre are candidates with each other, and those very near need no more splitting,
 since whatever is like them is near the centre as well: a partner that is not a candidate differs from such a set in
 more than SURELY - MAYBE of the places, whatever the centre, and these odds count into the runs. So a large group of
-near copies ends at once.
+near copies ends at once, and of one whose copies differ from each other by most of their shingles few sets are split on:
+both bounds are low, since a false candidate costs one exact comparison, but a set that is split goes on in two nodes.
 
 What these comparisons of signatures join are only candidate clusters. Within each cluster every pair is then compared
 exactly, on the sets themselves; a cluster over BLOCK sets is compared in pairs of blocks, for which each set is sent
@@ -41,7 +42,7 @@ TREE = 2 ** (DEPTH + 1) - 2
 CENTRE = 64
 #: Estimated likeness from which two sets of a small node are candidates, that to a node's centre from which sets are
 #: candidates with each other, and that from which a set is split no more.
-LIKELY, MAYBE, SURELY = 0.66, 0.55, 0.87
+LIKELY, MAYBE, SURELY = 0.66, 0.35, 0.67
 RECALL = 0.999
 
 
