@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wayfold.functions import geo
-from wayfold.operators.numbering import cut, drop
+from wayfold.operators.numbering import cut, drop, shuffled
 
 #: Levels whose cells, at most 4 to their power, are broadcast.
 SHARED = 6
@@ -41,11 +41,11 @@ def index(targets: DataFrame, k: int, bits: int, ident: str = "id") -> Cells:
     deep = F.expr(f"shiftright(q, 2 * ({bits} - level))").alias("prefix")
     paths = rows.groupBy("q").agg(F.count("*").alias("m")).select("q", "m", levels).select("q", "m", "level", deep)
     counts = cut(paths.groupBy("level", "prefix").agg(F.sum("m").alias("n")))
-    known = paths.join(counts, ["level", "prefix"])
+    known = shuffled(paths).join(shuffled(counts), ["level", "prefix"])
     known = known.withColumn("leaf", F.min(F.when(F.col("n") <= k, F.col("level"))).over(W.partitionBy("q")))
     cells = cut(known.groupBy("level", "prefix").agg(F.first("n").alias("n"), F.min(F.when(F.col("level") >= F.col("leaf"), F.col("leaf"))).alias("leaf")))
     leaves = known.where("level = leaf").select("q", "leaf", F.col("prefix").alias("leaf_prefix"))
-    placed = cut(rows.join(leaves, "q").select("leaf", "leaf_prefix", "id", "x", "y"))
+    placed = cut(shuffled(rows).join(shuffled(leaves), "q").select("leaf", "leaf_prefix", "id", "x", "y"))
     drop(counts, rows)
     return Cells(cells, placed, bits, k)
 
@@ -79,9 +79,9 @@ def search(places: DataFrame, cells: Cells) -> DataFrame:
     levels = places.select("px", "py", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("level"))
     levels = levels.withColumn("prefix", F.shiftright(geo.quadtile(F.col("px"), F.col("py")), 0)).withColumn("prefix", F.expr(f"shiftright(prefix, 2 * ({bits} - level))"))
     upper = levels.where(F.col("level") <= SHARED).join(F.broadcast(full.where(F.col("level") <= SHARED)), ["level", "prefix"])  # 4 ** SHARED cells a level at most
-    lower = levels.where(F.col("level") > SHARED).join(full.where(F.col("level") > SHARED), ["level", "prefix"])
+    lower = shuffled(levels.where(F.col("level") > SHARED)).join(shuffled(full.where(F.col("level") > SHARED)), ["level", "prefix"])
     start = upper.select("px", "py", "level").union(lower.select("px", "py", "level")).groupBy("px", "py").agg(F.max("level").alias("level"))
-    start = places.join(start, ["px", "py"], "left").withColumn("known", F.col("level").isNotNull()).na.fill(0, ["level"])
+    start = shuffled(places).join(shuffled(start), ["px", "py"], "left").withColumn("known", F.col("level").isNotNull()).na.fill(0, ["level"])
     side = F.expr(f"shiftleft(1L, {bits} - level)")
     own = lambda v: F.floor(F.col(v) / side) * side
     far2 = sum((_corner(v, own(v), side, True) * _corner(v, own(v), side, True) for v in ("px", "py")), F.lit(0))
@@ -93,17 +93,17 @@ def search(places: DataFrame, cells: Cells) -> DataFrame:
     )
     around = start.select("px", "py", "level", "bound2", F.explode(span("px")).alias("cx"), span("py").alias("ys"))
     around = around.select("px", "py", "level", "bound2", "cx", F.explode("ys").alias("cy")).withColumn("prefix", geo.quadtile(F.col("cx"), F.col("cy")))
-    front = cut(_reach(around.join(cells.cells, ["level", "prefix"]), bits, k))
+    front = cut(_reach(shuffled(around).join(shuffled(cells.cells), ["level", "prefix"]), bits, k))
     while not front.where("leaf is null").isEmpty():
         split = front.where("leaf is null").select("px", "py", "bound2", (F.col("level") + 1).alias("level"), F.explode(F.array(*[F.shiftleft("prefix", 2) + i for i in range(4)])).alias("prefix"))
-        inner = split.join(cells.cells, ["level", "prefix"]).select(*front.columns)
+        inner = shuffled(split).join(shuffled(cells.cells), ["level", "prefix"]).select(*front.columns)
         new = cut(_reach(front.where("leaf is not null").unionByName(inner), bits, k))
         drop(front)
         front = new
     leaves = front.select("px", "py", "bound2", "leaf", F.expr("shiftright(prefix, 2 * (level - leaf))").alias("leaf_prefix"))
     leaves = leaves.groupBy("px", "py", "leaf", "leaf_prefix").agg(F.max("bound2").alias("bound2"))
     dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
-    hits = leaves.join(cells.targets, ["leaf", "leaf_prefix"]).withColumn("d2", dx * dx + dy * dy).where("bound2 is null or d2 <= bound2")
+    hits = shuffled(leaves).join(shuffled(cells.targets), ["leaf", "leaf_prefix"]).withColumn("d2", dx * dx + dy * dy).where("bound2 is null or d2 <= bound2")
     rank = F.row_number().over(W.partitionBy("px", "py").orderBy("d2", "id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("px", "py", "rank", "id", "d2")
 
@@ -113,4 +113,4 @@ def k_nearest(points: DataFrame, targets: DataFrame, k: int, bits: int, key: str
     where there are fewer than k. Coordinates are whole numbers of `bits` bits. Points without coordinates have none."""
     asked = points.where("px is not null and py is not null").select(key, F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py"))
     found = search(asked.select("px", "py").distinct(), index(targets, k, bits, ident))
-    return asked.join(found, ["px", "py"]).select(key, "rank", F.col("id").alias(ident), "d2")
+    return shuffled(asked).join(shuffled(found), ["px", "py"]).select(key, "rank", F.col("id").alias(ident), "d2")
