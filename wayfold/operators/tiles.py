@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -127,6 +131,62 @@ def cut_lines(segments: DataFrame, bits: int, zoom: int) -> DataFrame:
     return pieces.select("way", "piece", "tile_x", "tile_y", F.concat(F.array("start"), F.col("rest.to")).alias("line"))
 
 
+def held(segments: DataFrame, bits: int, zoom: int) -> DataFrame:
+    """tile_x, tile_y, n_pieces, n_ways, n_points: what each tile holds of the pieces that cut_lines gives. Ways are cut and
+    counted where they lie together, so only a row a tile and batch leaves a task, and no piece is written."""
+    size = float(1 << (bits - zoom))
+    names = ["tile_x", "tile_y", "n_pieces", "n_ways", "n_points"]
+
+    def counts(rows: pa.Table) -> pa.RecordBatch:
+        way, x, y, next_x, next_y = (rows.column(c).to_numpy() for c in ("way", "x", "y", "next_x", "next_y"))
+        n = np.arange(len(way))
+        dx, dy = (next_x - x).astype(float), (next_y - y).astype(float)
+        which, t = [n, n], [np.zeros(len(n)), np.ones(len(n))]
+        for v, end, d in ((x, next_x, dx), (y, next_y, dy)):
+            a, b = np.floor(v / size).astype(np.int64), np.floor(end / size).astype(np.int64)
+            many = np.abs(a - b)
+            own = np.repeat(n, many)
+            border = np.minimum(a, b)[own] + 1 + np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
+            which.append(own)
+            t.append((border * size - v[own]) / d[own])
+        which, t = np.concatenate(which), np.concatenate(t)
+        order = np.lexsort((t, which))
+        which, t = which[order], t[order]
+        part = np.flatnonzero((which[1:] == which[:-1]) & (t[1:] != t[:-1]))
+        own, middle = which[part], (t[part] + t[part + 1]) / 2.0
+        tile_x = np.floor((x[own] + middle * dx[own]) / size).astype(np.int64)
+        tile_y = np.floor((y[own] + middle * dy[own]) / size).astype(np.int64)
+        follows = np.r_[False, (way[1:] == way[:-1]) & (next_x[:-1] == x[1:]) & (next_y[:-1] == y[1:])]
+        on = np.r_[False, (tile_x[1:] == tile_x[:-1]) & (tile_y[1:] == tile_y[:-1]) & ((own[1:] == own[:-1]) | follows[own[1:]])]
+        low_x, low_y = tile_x.min(), tile_y.min()
+        wide, high = int(tile_x.max() - low_x) + 1, int(tile_y.max() - low_y) + 1
+        tile = (tile_x - low_x) * high + tile_y - low_y
+        pieces = np.bincount(tile[~on], minlength=wide * high)
+        ways = np.cumsum(np.r_[False, way[1:] != way[:-1]])[own]
+        visits = np.unique(ways[~on] * (wide * high) + tile[~on]) % (wide * high)
+        found = np.flatnonzero(pieces)
+        values = [found // high + low_x, found % high + low_y, pieces[found], np.bincount(visits, minlength=wide * high)[found], (pieces + np.bincount(tile, minlength=wide * high))[found]]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in values], names=names)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for b in batches:
+            rows = pa.concat_tables([left, pa.Table.from_batches([b])]) if left is not None else pa.Table.from_batches([b])
+            if not len(rows):
+                continue
+            way = rows.column("way").to_numpy()
+            whole = int(np.searchsorted(way, way[-1]))  # the last way may go on in the next batch
+            if whole:
+                yield counts(rows.slice(0, whole))
+            left = rows.slice(whole)
+        if left is not None and len(left):
+            yield counts(left)
+
+    rows = segments.select(*[F.col(c).cast("long").alias(c) for c in ("way", "pos", "x", "y", "next_x", "next_y")])
+    found = rows.repartition("way").sortWithinPartitions("way", "pos").mapInArrow(work, ", ".join(f"{c} long" for c in names))
+    return found.groupBy("tile_x", "tile_y").agg(*[F.sum(c).alias(c) for c in names[2:]])
+
+
 def quadtree(points: DataFrame, bits: int, depth: int, least: int) -> DataFrame:
     """level, prefix, n of the quadtree over points (quadtile of `bits` bits an axis): nodes of at least `least` points, down to
     `depth`, and the children of such nodes; counted at the depth, then summed upwards."""
