@@ -195,11 +195,14 @@ def _cities(spark, d) -> DataFrame:
     return cities.in_city(tables.nodes(spark, d), places, outlines, _CITY_RADII)
 
 
+def _street_names(spark, d) -> DataFrame:
+    w = F.col("way")
+    return tables.ways(spark, d).select("way", F.when(w % 50 == 7, "").otherwise(F.concat(F.lit("S"), (w % 50).cast("string"))).alias("name"))
+
+
 def _addresses(spark, d) -> DataFrame:
     segments = cut(tables.segments(spark, d).select("way", "edge", "node", "next_node"))
-    w = F.col("way")
-    names = tables.ways(spark, d).select("way", F.when(w % 50 == 7, "").otherwise(F.concat(F.lit("S"), (w % 50).cast("string"))).alias("name"))
-    return cities.addresses(segments, names, cut(_cities(spark, d)))
+    return cities.addresses(segments, _street_names(spark, d), cut(_cities(spark, d)))
 
 
 @query(_CITIES + "SELECT * FROM city")
@@ -214,8 +217,15 @@ def addresses(spark, d):
 
 @query(_CITIES + "SELECT name, n_edges, round(metres, 1) AS metres FROM (SELECT place, name, count(*) AS n_edges, sum(metres) AS metres FROM addr JOIN edges USING (way, edge) GROUP BY 1, 2) WHERE place = 4 AND starts_with(lower(name), 's1') ORDER BY metres DESC, name LIMIT 10")
 def street_suggest(spark, d):
-    lengths = network.edges(road._segments(spark, d)).select("way", "edge", "metres")
-    found = cities.suggest_streets(cities.streets(_addresses(spark, d), lengths), 4, "S1", 10)
+    """The longest streets of a place that begin with a prefix. Segments are made once; only ways of such a name and nodes of the
+    place are joined, and only edges that are found are measured."""
+    place, prefix = 4, "S1"
+    segments = cut(road._segments(spark, d).select("way", "pos", "edge", "node", "next_node", "metres", "seconds"))
+    names = _street_names(spark, d).where(F.startswith(F.lower("name"), F.lit(prefix.lower())))
+    named = segments.join(names.select("way"), "way", "left_semi").select("way", "edge", "node", "next_node")
+    at = cut(cities.addresses(named, names, cut(_cities(spark, d).where(F.col("place") == place))))
+    lengths = network.edges(segments.join(at.select("way", "edge"), ["way", "edge"], "left_semi")).select("way", "edge", "metres")
+    found = cities.suggest_streets(cities.streets(at, lengths), place, prefix, 10)
     return found.select("name", "n_edges", F.round("metres", 1).alias("metres"))
 
 
